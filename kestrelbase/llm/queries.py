@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kestrelbase.llm import ngram_join, sharding
+from kestrelbase.llm import ngram_join, quality, rules, sharding, substring, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,9 +19,36 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), n=3, threshold=70)
 
 
+def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(_read(spark, sf_dir, "documents"))
+
+
+def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_subword_quality": op5_subword_quality,
+    "op7_two_tier_token_counts": op7_two_tier_token_counts,
+    "op8_chunk_dedup": op8_chunk_dedup,
+    "op9_factorization_toxicity": op9_factorization_toxicity,
+    "op10_weak_supervision_rules": op10_weak_supervision_rules,
 }
 
 ORACLE_SQL = {
