@@ -22,7 +22,7 @@ FAMILIES = 4
 #: Labelled texts that the model learns from, at most.
 TRAIN_ROWS = 3000
 #: Gradient steps, at least.
-LEAST_STEPS = 400
+LEAST_STEPS = 300
 AGAIN = U(0x5851F42D4C957F2D)
 
 
@@ -85,7 +85,13 @@ def train(found: list[str], y: np.ndarray, dim: int = 8, epochs: int = 5, rate:
     # few labelled texts are gone over more often
     epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(bags))))
     rng = np.random.default_rng(seed)
-    vectors = ((rng.random((1 << BITS, dim), np.float32) - 0.5) / dim).astype(np.float32)
+    # n-grams of a single labelled text teach nothing about others
+    seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=1 << BITS)
+    used = np.flatnonzero(seen > 1)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    bags = [(place[i][place[i] >= 0], w[place[i] >= 0]) for i, w in bags]
+    vectors = ((rng.random((len(used), dim), np.float32) - 0.5) / dim).astype(np.float32)
     out = ((rng.random((2, dim), np.float32) - 0.5) / dim).astype(np.float32)
     share = np.clip(y.mean(), 0.01, 0.99)
     bias = np.log(np.array([1 - share, share], np.float32))
@@ -109,8 +115,12 @@ def train(found: list[str], y: np.ndarray, dim: int = 8, epochs: int = 5, rate:
             back = p @ out
             out -= lr * (p.T @ mean) / np.sqrt(len(chosen))
             bias -= np.float32(lr * 0.05) * p.mean(0)
-            np.subtract.at(vectors, ids, (lr * w)[:, None] * back[who])
-    return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
+            w *= lr
+            for d in range(dim):
+                vectors[:, d] -= np.bincount(ids, weights=w * back[who, d], minlength=len(used))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = vectors @ (out[1] - out[0])
+    return weights, float(bias[1] - bias[0])
 
 
 def score_pass(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrelbase.llm import ngram_join, quality, rules, sharding, substring, tokencount, toxicity
+from kestrelbase.llm import decontaminate, ngram_join, packing, quality, rules, sharding, substring, tokencount, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_seed_align_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), 16)
 
@@ -19,14 +29,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), n=3, threshold=70)
 
 
+def op4_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.seed_labels(pages), urlfilter.RULES)
+
+
 def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-def op7_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def op6_variable_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), _tokenizer())
+
 
-    return tokencount.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+def op7_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_read(spark, sf_dir, "documents"), _tokenizer(), limit=1024)
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +59,12 @@ def op10_weak_supervision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_seed_align_decontamination": op1_seed_align_decontamination,
     "op2_minimax_shards": op2_minimax_shards,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_boosted_url_filter": op4_boosted_url_filter,
     "op5_subword_quality": op5_subword_quality,
+    "op6_variable_best_fit_packing": op6_variable_best_fit_packing,
     "op7_two_tier_token_counts": op7_two_tier_token_counts,
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_factorization_toxicity": op9_factorization_toxicity,

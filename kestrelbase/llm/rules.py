@@ -24,7 +24,7 @@ ALPHA = UPPER.copy()
 ALPHA[97:123] = True
 WINDOW = 5
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_alpha", "n_lines", "n_adjacent", "n_marks")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_alpha", "n_lines", "n_adjacent", "n_marks", "n_symbol_words")
 
 
 def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -33,6 +33,9 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     n_words = np.diff(wb)
     lead = (buf & 0xC0) != 0x80
     out = {"n_words": n_words, "word_chars": tv.per_text(lead & ~tv.SPACE[buf], offs), "n_symbols": tv.per_text(SYMBOLS[buf], offs), "n_upper": tv.per_text(UPPER[buf], offs), "n_alpha": tv.per_text(ALPHA[buf], offs), "n_marks": tv.per_text(buf == 0x21, offs)}
+    marked = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(SYMBOLS[buf], out=marked[1:])
+    out["n_symbol_words"] = tv.per_text(marked[ends] > marked[starts], wb)
     # lines: runs of bytes other than \n; an empty line holds no word and doesn't count
     ls, le = tv.spans_of(buf != 0x0A, offs)
     words_before = np.searchsorted(starts, np.stack([ls, le]))
@@ -97,7 +100,9 @@ def votes() -> dict[str, tuple]:
     mean = per("word_chars", "n_words")
     return {
         "symbols": (per("n_symbols", "n_words") <= 0.02, per("n_symbols", "n_words") >= 0.1),
-        "repeated_windows": (long_enough & (n("n_repeat_words") * 20 <= c), n("n_repeat_words") * 10 > c),
+        "symbol_share": (per("n_symbols", "word_chars") <= 0.005, per("n_symbols", "word_chars") >= 0.03),
+        "symbol_words": (long_enough & (per("n_symbol_words", "n_words") <= 0.02), long_enough & (per("n_symbol_words", "n_words") >= 0.15)),
+        "repeated_windows": (long_enough & (n("n_repeat_words") * 20 <= c), n("n_repeat_words") * 100 > c * 15),
         "repeated_lines": ((n("n_lines") >= 3) & (n("n_dup_lines") == 0), (n("n_lines") >= 3) & (n("n_dup_lines") * 10 >= n("n_lines") * 3)),
         "capitals": ((n("n_alpha") >= 40) & (per("n_upper", "n_alpha") <= 0.2), (n("n_alpha") >= 40) & (per("n_upper", "n_alpha") >= 0.5)),
         "stutter": (long_enough & (n("n_adjacent") * 50 <= c), long_enough & (n("n_adjacent") * 10 >= c)),
@@ -118,9 +123,8 @@ def learn(patterns: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple
     one = np.zeros((p, rules, 3))
     one[np.arange(p)[:, None], np.arange(rules)[None], patterns] = 1
     prior = {True: np.array([1.0, 2.0, 7.0]), False: np.array([7.0, 2.0, 1.0])}
-    bad, good = (patterns == 0).sum(1), (patterns == 2).sum(1)
-    q = (good + 1.0) / (good + 2.0 * bad + 2.0)
-    # start with several doubtful votes counting against a text
+    # start from the prior belief that rules seldom vote bad in error
+    q = np.array([0.95, 0.25, 0.05])[np.minimum((patterns == 0).sum(1), 2)]
     for _ in range(rounds):
         mass = weights * q
         rest = weights * (1 - q)

@@ -91,15 +91,23 @@ def text_hashes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(mean_words: int):
-    """Rows (doc_id, text_hash, at, size, digest): a task's first occurrences have their digest, later ones a null."""
-    schema = "doc_id long, text_hash long, at int, size int, digest long"
+    """Rows (doc_id, text_hash, at, size, digest, source): a task's first occurrences have their digest, later ones the id of the first one's row."""
+    schema = "doc_id long, text_hash long, at int, size int, digest long, source long"
 
-    def rows(ids: np.ndarray, null: np.ndarray, th: np.ndarray, at: np.ndarray, size: np.ndarray, digest: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
+    def rows(ids, null, th, at, size, digest=None, source=None, source_null=None) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(ids), 1 << 17):
             s = slice(i, i + (1 << 17))
-            own = pa.array(digest[s]) if first else pa.nulls(len(ids[s]), pa.int64())
+            none = pa.nulls(len(ids[s]), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[s], mask=null[s]), pa.array(th[s]), pa.array(at[s].astype(np.int32)), pa.array(size[s].astype(np.int32)), own], names=["doc_id", "text_hash", "at", "size", "digest"]
+                [
+                    pa.array(ids[s], mask=null[s]),
+                    pa.array(th[s]),
+                    pa.array(at[s].astype(np.int32)),
+                    pa.array(size[s].astype(np.int32)),
+                    none if digest is None else pa.array(digest[s]),
+                    none if source is None else pa.array(source[s], mask=source_null[s]),
+                ],
+                names=["doc_id", "text_hash", "at", "size", "digest", "source"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +118,7 @@ def _occurrences(mean_words: int):
 
         def merge() -> tuple[tuple[np.ndarray, ...], Iterator[pa.RecordBatch]]:
             digest, ids, null, th, at, size = (np.concatenate(x) for x in zip(best, *fresh, strict=True))
-            order = np.lexsort((at, th, ids, ~null, digest))
+            order = np.lexsort((at, th, ids, null, digest))
             digest, ids, null, th, at, size = (x[order] for x in (digest, ids, null, th, at, size))
             new = np.ones(len(digest), bool)
             new[1:] = digest[1:] != digest[:-1]
@@ -119,7 +127,7 @@ def _occurrences(mean_words: int):
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             twin = late & (ids == ids[lead]) & (null == null[lead]) & (th == th[lead]) & (at == at[lead])
             late &= ~twin
-            return tuple(x[new] for x in (digest, ids, null, th, at, size)), rows(ids[late], null[late], th[late], at[late], size[late], digest[late], False)
+            return tuple(x[new] for x in (digest, ids, null, th, at, size)), rows(ids[late], null[late], th[late], at[late], size[late], None, ids[lead[late]], null[lead[late]])
 
         for rb in batches:
             doc = rb.column("doc_id")
@@ -138,75 +146,65 @@ def _occurrences(mean_words: int):
             best, out = merge()
             yield from out
         digest, ids, null, th, at, size = best
-        yield from rows(ids, null, th, at, size, digest, True)
+        yield from rows(ids, null, th, at, size, digest)
 
     return run, schema
 
 
 def repeats(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """(doc_id, text_hash, at, size) of every chunk that isn't its digest's first occurrence."""
+    """(doc_id, text_hash, at, size, source) of every chunk that isn't its digest's first occurrence; source: the id of a row with an earlier one."""
     run, schema = _occurrences(mean_words)
     found = keep(docs.select("doc_id", "text").mapInArrow(run, schema))
     firsts = found.filter("digest is not null")
-    own = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "text_hash", "at")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "at")
     shared = firsts.groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
     later = firsts.join(shared, "digest").filter(own != F.col("first"))
     # two identical rows in two tasks are one text
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("at") == F.col("first.at"))
-    return found.filter("digest is null").select("doc_id", "text_hash", "at", "size").union(later.filter(~same).select("doc_id", "text_hash", "at", "size"))
+    return found.filter("digest is null").select("doc_id", "text_hash", "at", "size", "source").union(later.filter(~same).select("doc_id", "text_hash", "at", "size", F.col("first.doc_id")))
 
 
 def runs(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(doc_id, text_hash, spans): byte spans [start, end) of each text that go, in order; texts that keep all are missing."""
+    """(doc_id, text_hash, removed_bytes, spans, sources) of every text that loses something.
+
+    spans: byte ranges [start, end) of the text that go, in order.  sources: ids of rows that hold an earlier
+    occurrence of what goes, one for each chunk, each once.
+    """
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            out = []
-            for spans in rb.column("chunks").to_pylist():
-                own: list[list[int]] = []
-                for c in spans:
+            out, removed, sources = [], [], []
+            for found in rb.column("chunks").to_pylist():
+                own: list[list] = []
+                for c in found:
                     if own and own[-1][1] >= c["at"]:
                         own[-1][1] = max(own[-1][1], c["at"] + c["size"])
+                        own[-1][2].add(c["source"])
                     else:
-                        own.append([c["at"], c["at"] + c["size"]])
-                out.append([{"start": a, "end": b} for a, b in own if b - a >= least_bytes])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("text_hash"), pa.array(out, kind)], names=["doc_id", "text_hash", "spans"])
+                        own.append([c["at"], c["at"] + c["size"], {c["source"]}])
+                own = [x for x in own if x[1] - x[0] >= least_bytes]
+                out.append([{"start": a, "end": b} for a, b, _ in own])
+                removed.append(sum(b - a for a, b, _ in own))
+                sources.append(sorted({s for x in own for s in x[2] if s is not None}))
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("doc_id"), rb.column("text_hash"), pa.array(removed, pa.int64()), pa.array(out, pa.list_(span)), pa.array(sources, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "removed_bytes", "spans", "sources"],
+            )
 
-    grouped = repeats(docs, mean_words).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("chunks"))
-    return grouped.mapInArrow(join, "doc_id long, text_hash long, spans array<struct<start:int,end:int>>").filter(F.size("spans") > 0)
+    grouped = repeats(docs, mean_words).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("at", "size", "source"))).alias("chunks"))
+    return grouped.mapInArrow(join, "doc_id long, text_hash long, removed_bytes long, spans array<struct<start:int,end:int>>, sources array<long>").filter(F.size("spans") > 0)
 
 
 def report(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_chunks, removed_bytes, spans for every row of ``docs``.
+    """doc_id, removed_bytes, spans, sources of every text that repeats earlier text.
 
-    spans: UTF-8 byte ranges of the text that repeat earlier text, within the row or in rows with a
-    lesser id (a null id comes first).  A null or empty text has no chunks and loses
-    nothing.  Rows with the same id and text are one text and lose the same; an empty
-    table gives no rows.
+    spans: UTF-8 byte ranges of the text that repeat earlier text, within it or in rows with a
+    lesser id (a null id comes last); sources: ids of rows that hold that earlier text.
+    Null and empty texts repeat nothing.  Rows with the same id and text are one text; an
+    empty table gives no rows.
     """
-    gone = runs(docs, mean_words, least_bytes)
-
-    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            parts = []
-            for _, _, buf, offs in tv.passes(rb.column("text")):
-                _, _, _, bounds = chunks(buf, offs, mean_words)
-                parts.append((text_hashes(buf, offs), np.diff(offs), np.diff(bounds)))
-            th, n, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(th), pa.array(n), pa.array(c)], names=["doc_id", "text_hash", "n_bytes", "n_chunks"])
-
-    sized = docs.select("doc_id", "text").mapInArrow(size, "doc_id long, text_hash long, n_bytes long, n_chunks long").alias("d")
-    gone = gone.alias("g")
-    joined = sized.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_hash") == F.col("g.text_hash")), "left")
-    spans = F.coalesce(F.col("g.spans"), F.array().cast("array<struct<start:int,end:int>>"))
-    return joined.select(
-        F.col("d.doc_id").alias("doc_id"),
-        "n_bytes",
-        "n_chunks",
-        F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("removed_bytes"),
-        spans.alias("spans"),
-    )
+    return runs(docs, mean_words, least_bytes).select("doc_id", "removed_bytes", "spans", "sources")
 
 
 def cut_texts(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST_BYTES) -> DataFrame:

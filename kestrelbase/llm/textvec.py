@@ -22,6 +22,9 @@ PASS_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII letters and digits, and every byte of a non-ASCII code point.
+PLAIN = np.ones(256, bool)
+PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = False
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]

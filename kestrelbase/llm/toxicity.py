@@ -24,13 +24,10 @@ TRAIN_ROWS, TERMS = 12000, 4096
 #: Lengths of the word beginnings that are terms besides the word.
 HEADS = (4, 5, 6)
 
-PLAIN = np.ones(256, bool)
-PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = False
-
 
 def terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct term slots of each text, sorted, and their bounds."""
-    starts, ends = tv.spans_of(PLAIN[buf], offs)
+    starts, ends = tv.spans_of(tv.PLAIN[buf], offs)
     wb = np.searchsorted(starts, offs)
     kinds = [tv.span_hashes(buf, starts, ends, lower=True)]
     for n in HEADS:
@@ -110,7 +107,7 @@ def _logits(w: np.ndarray, ids: np.ndarray, who: np.ndarray, n: int, w0: float)
 
 def score_pass(buf: np.ndarray, offs: np.ndarray, place: np.ndarray, w: np.ndarray, w0: float) -> np.ndarray:
     """Probabilities of toxicity of the texts of a pass."""
-    starts, ends = tv.spans_of(PLAIN[buf], offs)
+    starts, ends = tv.spans_of(tv.PLAIN[buf], offs)
     wb = np.searchsorted(starts, offs)
     owner = tv.owner(wb)
     ids, who = [], []
