@@ -148,3 +148,18 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if not changed:
             return labels
+
+
+#: Ids that may be broadcast: 8 MB of longs.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``ids`` (doc_id); a null id is never in it.
+
+    Up to BROADCAST_IDS distinct ids are broadcast and no text is shuffled; beyond that both sides are
+    shuffled by id.
+    """
+    ids = keep(ids.select(F.col("doc_id").alias("__gone")).filter("__gone is not null").distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__gone"), "left_anti")

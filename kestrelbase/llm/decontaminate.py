@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelbase.llm import textvec as tv
+from kestrelbase.llm.common import without_ids
 
 U = np.uint64
 SEED = 3
@@ -258,6 +259,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that hold no copy of an item, with all their columns."""
-    found = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    """The rows of ``docs`` that hold no copy of an item, with all their columns; a row without an id stays."""
+    return without_ids(docs, leaks(docs, benchmark, threshold))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelbase.llm import textvec as tv
-from kestrelbase.llm.common import connected, keep, texts
+from kestrelbase.llm.common import connected, keep, texts, without_ids
 
 U = np.uint64
 SKETCH_BITS = 22
@@ -512,3 +512,18 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: int = 70) -> DataFra
         F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 3, threshold: int = 70) -> DataFrame:
+    """``docs`` with one row of each component of linked texts, the one with the least id; all columns stay.
+
+    Of repeated rows with that id one stays.  Rows without an id or without words stay.
+    """
+    found = keep(near_duplicates(docs, n, threshold))
+    left = without_ids(docs, found.filter("component_id <> doc_id"))
+    # an id that several rows share can't tell them apart: of those with words one stays
+    again = found.filter("doc_id is not null and n_shingles > 0 and component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    again = keep(again)
+    if not again.limit(1).count():
+        return left
+    return without_ids(left, again).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

@@ -8,6 +8,8 @@ hashed n-gram, the difference of its two logits; the vectors never leave the dri
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,6 +136,17 @@ def score_pass(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray, bias: flo
     return 1 / (1 + np.exp(-z))
 
 
+def _model(docs: DataFrame, labels: DataFrame, train_rows: int):
+    found, y = training_rows(docs, labels, "quality", train_rows)
+    model = train(found, y) if len(found) else (np.zeros(1 << BITS, np.float32), 0.0)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def scores(column: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
+    parts = [score_pass(buf, offs, *model) for _, _, buf, offs in tv.passes(column)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
@@ -141,13 +154,17 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
     null or empty text gets the intercept's score; without labelled rows every text gets
     0.5.  Null and repeated ids are rows like others; an empty table gives no rows.
     """
-    found, y = training_rows(docs, labels, "quality", train_rows)
-    weights, bias = train(found, y) if len(found) else (np.zeros(1 << BITS, np.float32), 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    shared = _model(docs, labels, train_rows)
+    scored = map_texts(texts(docs), lambda column: {"score": scores(column, shared.value)}, {"score": pa.float64()}, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def score(column: pa.Array) -> dict[str, np.ndarray]:
-        parts = [score_pass(buf, offs, *shared.value) for _, _, buf, offs in tv.passes(column)]
-        return {"score": np.concatenate(parts) if parts else np.zeros(0)}
 
-    scored = map_texts(texts(docs), score, {"score": pa.float64()}, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject, with all their columns; nothing is shuffled."""
+    shared = _model(docs, labels, train_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            yield rb.filter(pa.array(scores(rb.column("text"), shared.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
