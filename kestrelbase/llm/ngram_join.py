@@ -7,8 +7,10 @@ whole corpus; a wrong estimate only moves an n-gram in the order, never changes
 1. Every text gives its set's size and signature, and its part of the sketch.  Texts with
    one set are one class; from here on only classes count.
 2. The order is cut into fragments of equal mass.  Each class sends the rare end of its set
-   (the prefix that any sufficiently similar set must meet) to those fragments, packed by
-   task and fragment.  A fragment finds the pairs that meet in it.
+   to those fragments, packed by task and fragment.  What it sends are signatures of two
+   n-grams that are neighbours in its sorted set: sufficiently similar sets must share some
+   in their rare ends, while unrelated texts that have a few n-grams in common hardly
+   ever do.  A fragment finds the pairs that meet in it.
 3. Candidate pairs form components.  The whole sets of their classes are cut by the same
    order into vertical segments; each (component, segment) counts partial overlaps
    separately, and Spark sums them per pair.  A large component is split into blocks of
@@ -147,11 +149,23 @@ def fragment_cuts(mass: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def prefix_lengths(n: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rare-end lengths that must meet in any similar pair: of the larger set, and of the smaller (or equal) one."""
+    """Rare-end lengths, in signatures, that must meet in any similar pair: of the larger set, and of the smaller (or equal) one.
+
+    Let two sets share o n-grams and differ in s.  Similar ones have
+    s <= (100 - threshold) * o / threshold, and the n-grams that differ cut the shared ones into at most s + 1 runs
+    of the merged order, so at least o - s - 1 neighbouring n-grams are neighbours in both.
+    """
     n = n.astype(np.int64)
-    larger = n - -(-threshold * n // 100) + 1
-    smaller = n - -(-2 * threshold * n // (100 + threshold)) + 1
-    return np.minimum(larger, n), np.minimum(smaller, n)
+    out = []
+    for o in (-(-threshold * n // 100), -(-2 * threshold * n // (100 + threshold))):
+        sure = o - (100 - threshold) * o // threshold - 1 if by_neighbours(threshold) else o
+        out.append(np.maximum(np.minimum(n - sure + (0 if by_neighbours(threshold) else 1), n - by_neighbours(threshold)), 0))
+    return out[0], out[1]
+
+
+def by_neighbours(threshold: int) -> bool:
+    """Whether two neighbouring n-grams make a signature: from here on o - s - 1 is at least 1 for any two sets that differ."""
+    return threshold >= 67
 
 
 def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
@@ -161,22 +175,18 @@ def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
     def pack(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not found:
             return
-        key, cid, size, before, small = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(key)
-        key, cid, size, before, small = key[order], cid[order], size[order], before[order], small[order]
-        at = np.searchsorted(key, cut_at)
-        ends = np.concatenate([at, [len(key)]])
-        begins = np.concatenate([[0], at])
+        fragment, sign, cid, size, before, small = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((sign, fragment))
+        fragment, sign, cid, size, before, small = (x[order] for x in (fragment, sign, cid, size, before, small))
+        at = np.searchsorted(fragment, np.arange(fragments + 1))
         rows, blobs = [], []
-        for f in range(fragments):
-            a, b = int(begins[f]), int(ends[f])
-            if a == b:
-                continue
-            who, place = np.unique(np.stack([cid[a:b], size[a:b]]), axis=1, return_inverse=True)
-            # key differences and byte planes, so that the shuffle's compression finds the zeros
-            gaps = np.diff(key[a:b], prepend=U(0))
-            planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
-            blobs.append(np.array([b - a, who.shape[1]], np.int64).tobytes() + planes + who.tobytes() + place.ravel().astype(np.uint32).tobytes() + before[a:b].tobytes() + small[a:b].tobytes())
+        for f in np.flatnonzero(np.diff(at)).tolist():
+            a, b = int(at[f]), int(at[f + 1])
+            _, one, place = np.unique(cid[a:b], return_index=True, return_inverse=True)
+            who = np.stack([cid[a:b][one], size[a:b][one]])
+            # differences in byte planes, so that the shuffle's compression finds the zeros
+            gaps = np.diff(sign[a:b], prepend=U(0)).view(np.uint8).reshape(-1, 8).T[:6].tobytes()
+            blobs.append(np.array([b - a, who.shape[1]], np.int64).tobytes() + who.tobytes() + before[a:b].tobytes() + (place.astype(np.uint32) * 2 + small[a:b]).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() + gaps)
             rows.append(f)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["fragment", "packed"])
 
@@ -191,12 +201,13 @@ def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
                 sig = signatures((keys & U((1 << 58) - 1)), bounds)
                 larger, smaller = prefix_lengths(sizes, threshold)
                 place = np.arange(len(keys)) - np.repeat(bounds[:-1], sizes)
-                take = place < np.repeat(larger, sizes)
+                take = np.flatnonzero(place < np.repeat(larger, sizes))
                 before = np.zeros(len(keys), np.uint64)
                 before[1:] = keys[:-1]
                 before[bounds[:-1][sizes > 0]] = 0
                 small = (place < np.repeat(smaller, sizes))[take]
-                found.append((keys[take], np.repeat(sig, sizes)[take], np.repeat(sizes, sizes)[take], tv.mix(before[take]).astype(np.uint32), small.astype(np.uint8)))
+                sign = tv.mix(keys[take] + tv.mix(keys[take + 1])) if by_neighbours(threshold) else tv.mix(keys[take])
+                found.append((np.searchsorted(cut_at, keys[take], side="right").astype(np.int32), sign >> U(16), np.repeat(sig, sizes)[take], np.repeat(sizes, sizes)[take], tv.mix(before[take]).astype(np.uint32), small.astype(np.uint8)))
                 held += len(small)
                 if held > 1 << 21:
                     yield from pack(found)
@@ -207,25 +218,25 @@ def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, ...]:
-    """(key, class id, size, hash of the key before it, within the smaller prefix) of a blob's entries."""
+    """(signature, class id, size, hash of the n-gram before it, within the smaller prefix) of a blob's entries."""
     m, w = np.frombuffer(packed, np.int64, 2).tolist()
     at = 16
-    key = np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8, 8 * m, at).reshape(8, m).T).view(np.uint64).ravel(), dtype=np.uint64)
-    at += 8 * m
     who = np.frombuffer(packed, np.int64, 2 * w, at).reshape(2, w)
     at += 16 * w
-    place = np.frombuffer(packed, np.uint32, m, at)
-    at += 4 * m
     before = np.frombuffer(packed, np.uint32, m, at)
     at += 4 * m
-    return key, who[0][place], who[1][place], before, np.frombuffer(packed, np.uint8, m, at) > 0
+    place = np.ascontiguousarray(np.frombuffer(packed, np.uint8, 4 * m, at).reshape(4, m).T).view(np.uint32).ravel()
+    at += 4 * m
+    gaps = np.zeros((m, 8), np.uint8)
+    gaps[:, :6] = np.frombuffer(packed, np.uint8, 6 * m, at).reshape(6, m).T
+    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64), who[0][place >> 1], who[1][place >> 1], before, (place & 1) > 0
 
 
 def meeting_pairs(key, cid, size, before, small, threshold: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Arrays (5, m): lesser class id, its size, greater class id, its size of pairs that meet at a key.
+    """Arrays (4, m): lesser class id, its size, greater class id, its size of pairs that meet at a signature.
 
-    A pair that also meets at the key just before (in both sets) is left to that key.  Pairs
-    of a key are made a bounded number at a time, however many classes meet there.
+    A pair that also shares the n-gram just before (in both sets) is left to the signature
+    there.  Pairs of a signature are made a bounded number at a time, however many classes meet there.
     """
     order = np.lexsort((cid, size, key))
     key, cid, size, before, small = key[order], cid[order], size[order], before[order], small[order]
@@ -441,7 +452,8 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass:
     spark = docs.sparkSession
     sc = spark.sparkContext
     shared_level = sc.broadcast(level.astype(np.uint64))
-    fragments = int(max(1, -(-int(mass.sum()) * (100 - threshold) // 100 // FRAGMENT)))
+    share = prefix_lengths(np.array([1000]), threshold)[0][0] / 1000
+    fragments = int(max(1, mass.sum() * share // FRAGMENT))
     prefix = texts(docs).select("text").mapInArrow(_prefixes(n, threshold, shared_level, fragment_cuts(mass, fragments)), "fragment int, packed binary")
     pairs = prefix.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_find_pairs(threshold), "a long, na long, b long, nb long")
     pairs = keep(pairs.distinct())
