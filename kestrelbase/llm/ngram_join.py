@@ -175,18 +175,15 @@ def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
     def pack(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not found:
             return
-        fragment, sign, cid, size, before, small = (np.concatenate(x) for x in zip(*found, strict=True))
+        fragment, sign, node, size, before = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((sign, fragment))
-        fragment, sign, cid, size, before, small = (x[order] for x in (fragment, sign, cid, size, before, small))
+        fragment, sign, node, size, before = (x[order] for x in (fragment, sign, node, size, before))
         at = np.searchsorted(fragment, np.arange(fragments + 1))
         rows, blobs = [], []
         for f in np.flatnonzero(np.diff(at)).tolist():
             a, b = int(at[f]), int(at[f + 1])
-            _, one, place = np.unique(cid[a:b], return_index=True, return_inverse=True)
-            who = np.stack([cid[a:b][one], size[a:b][one]])
-            # differences in byte planes, so that the shuffle's compression finds the zeros
-            gaps = np.diff(sign[a:b], prepend=U(0)).view(np.uint8).reshape(-1, 8).T[:6].tobytes()
-            blobs.append(np.array([b - a, who.shape[1]], np.int64).tobytes() + who.tobytes() + before[a:b].tobytes() + (place.astype(np.uint32) * 2 + small[a:b]).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() + gaps)
+            # byte planes, and differences of what is sorted, so that the shuffle's compression finds the zeros
+            blobs.append(_planes(np.diff(sign[a:b], prepend=U(0)), 6) + _planes(node[a:b], 5) + _planes(before[a:b], 3) + size[a:b].tobytes())
             rows.append(f)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["fragment", "packed"])
 
@@ -203,11 +200,12 @@ def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
                 place = np.arange(len(keys)) - np.repeat(bounds[:-1], sizes)
                 take = np.flatnonzero(place < np.repeat(larger, sizes))
                 before = np.zeros(len(keys), np.uint64)
-                before[1:] = keys[:-1]
+                before[1:] = (tv.mix(keys[:-1]) >> U(40)) | U(1)
                 before[bounds[:-1][sizes > 0]] = 0
                 small = (place < np.repeat(smaller, sizes))[take]
                 sign = tv.mix(keys[take] + tv.mix(keys[take + 1])) if by_neighbours(threshold) else tv.mix(keys[take])
-                found.append((np.searchsorted(cut_at, keys[take], side="right").astype(np.int32), sign >> U(16), np.repeat(sig, sizes)[take], np.repeat(sizes, sizes)[take], tv.mix(before[take]).astype(np.uint32), small.astype(np.uint8)))
+                node = np.repeat(sig.view(np.uint64) >> U(24), sizes)[take]
+                found.append((np.searchsorted(cut_at, keys[take], side="right").astype(np.int32), sign >> U(16), node, np.repeat(size_levels(sizes), sizes)[take] * 2 + small, before[take]))
                 held += len(small)
                 if held > 1 << 21:
                     yield from pack(found)
@@ -217,38 +215,49 @@ def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
     return run
 
 
+def size_levels(n: np.ndarray) -> np.ndarray:
+    """Set sizes on a scale of steps of a tenth, in 7 bits; the largest share the last step."""
+    return np.minimum(np.log(np.maximum(n, 1)) / np.log(1.1), 127).astype(np.uint8)
+
+
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The n low bytes of 64-bit integers, byte by byte."""
+    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:n].tobytes()
+
+
+def _from_planes(raw: bytes, at: int, m: int, n: int) -> np.ndarray:
+    out = np.zeros((m, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8, n * m, at).reshape(n, m).T
+    return out.view(np.uint64).ravel()
+
+
 def unpack(packed: bytes) -> tuple[np.ndarray, ...]:
-    """(signature, class id, size, hash of the n-gram before it, within the smaller prefix) of a blob's entries."""
-    m, w = np.frombuffer(packed, np.int64, 2).tolist()
-    at = 16
-    who = np.frombuffer(packed, np.int64, 2 * w, at).reshape(2, w)
-    at += 16 * w
-    before = np.frombuffer(packed, np.uint32, m, at)
-    at += 4 * m
-    place = np.ascontiguousarray(np.frombuffer(packed, np.uint8, 4 * m, at).reshape(4, m).T).view(np.uint32).ravel()
-    at += 4 * m
-    gaps = np.zeros((m, 8), np.uint8)
-    gaps[:, :6] = np.frombuffer(packed, np.uint8, 6 * m, at).reshape(6, m).T
-    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64), who[0][place >> 1], who[1][place >> 1], before, (place & 1) > 0
-
-
-def meeting_pairs(key, cid, size, before, small, threshold: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Arrays (4, m): lesser class id, its size, greater class id, its size of pairs that meet at a signature.
+    """(signature, node, hash of the n-gram before it, size level, within the smaller prefix) of a blob's entries."""
+    m = len(packed) // 15
+    size = np.frombuffer(packed, np.uint8, m, 14 * m)
+    return np.cumsum(_from_planes(packed, 0, m, 6), dtype=np.uint64), _from_planes(packed, 6 * m, m, 5), _from_planes(packed, 11 * m, m, 3), size >> 1, (size & 1) > 0
+
+
+def meeting_pairs(sign, node, before, level, small, threshold: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Arrays (2, m): lesser and greater node of pairs that meet at a signature.
 
     A pair that also shares the n-gram just before (in both sets) is left to the signature
-    there.  Pairs of a signature are made a bounded number at a time, however many classes meet there.
+    there.  Pairs of a signature are made a bounded number at a time, however many classes
+    meet there.
     """
-    order = np.lexsort((cid, size, key))
-    key, cid, size, before, small = key[order], cid[order], size[order], before[order], small[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1]) | (size[1:] != size[:-1])
-    key, cid, size, before, small = key[new], cid[new], size[new], before[new], small[new]
-    if not len(key):
+    order = np.lexsort((node, ~small, level, sign))
+    sign, node, before, level, small = (x[order] for x in (sign, node, before, level, small))
+    new = np.ones(len(sign), bool)
+    new[1:] = (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])
+    sign, node, before, level, small = (x[new] for x in (sign, node, before, level, small))
+    if not len(sign):
         return
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    edge = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1], [True]]))
     end = np.repeat(edge[1:], np.diff(edge))
-    # partners come later in the key's run, ordered by size, and may be larger by 100 / threshold at most
-    at = np.arange(len(key))
+    # partners come later in the signature's run, ordered by size level: of two sets of one level the one within its smaller prefix is first
+    at = np.arange(len(sign))
+    level = level.astype(np.int64)
+    apart = int(np.ceil(np.log(100 / threshold) / np.log(1.1))) + 1
     partners = np.where(small, end - at - 1, 0)
     rows = np.flatnonzero(partners)
     counts = partners[rows]
@@ -263,31 +272,27 @@ def meeting_pairs(key, cid, size, before, small, threshold: int, most: int = 1 <
             r = np.searchsorted(sums[i : j + 1] - lo, k, side="right") - 1
             a = rows[i + r]
             b = a + 1 + (k - (sums[i + r] - lo))
-            ok = (100 * size[a] >= threshold * size[b]) & ((before[a] != before[b]) | (before[a] == _NONE))
-            a, b = a[ok], b[ok]
+            ok = (level[b] - level[a] <= apart) & ((before[a] != before[b]) | (before[a] == 0)) & (node[a] != node[b])
+            a, b = node[a[ok]], node[b[ok]]
             if len(a):
-                swap = (cid[a] > cid[b]) | ((cid[a] == cid[b]) & (size[a] > size[b]))
-                x, y = np.where(swap, b, a), np.where(swap, a, b)
-                yield np.stack([cid[x], size[x], cid[y], size[y]])
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)]).view(np.int64)
         i = j
 
 
-_NONE = tv.mix(np.zeros(1, np.uint64)).astype(np.uint32)[0]
-
-
 def _find_pairs(threshold: int):
     def finish(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, cid, size, before, small = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-        # most n-grams occur once: only those that two entries share can give a pair
-        order = np.argsort(key)
-        k = key[order]
+        entries = [np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True)]
+        # most signatures occur once: only those that two entries share can give a pair
+        order = np.argsort(entries[0])
+        k = entries[0][order]
         shared = np.zeros(len(k), bool)
         shared[1:] = k[1:] == k[:-1]
         shared[:-1] |= shared[1:]
         order = order[shared]
-        for p in meeting_pairs(key[order], cid[order], size[order], before[order], small[order], threshold):
+        for p in meeting_pairs(*(x[order] for x in entries), threshold):
+            # nodes have 40 bits
             p = np.unique(p, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], names=["a", "na", "b", "nb"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -390,22 +395,21 @@ def partial_overlaps(cid: np.ndarray, size: np.ndarray, keys: list[np.ndarray],
     kept = times[col] > 1
     if not kept.any():
         return
-    _, col = np.unique(col[kept], return_inverse=True)
-    who, m = who[kept], len(keys)
+    renamed = np.cumsum(times > 1) - 1
+    col, who, m = renamed[col[kept]], who[kept], len(keys)
     columns = int(col.max()) + 1
-    step = max(64, most // m)
+    step = min(columns, max(64, most // m))
     total = np.zeros((m, m), np.float32)
     order = np.argsort(col, kind="stable")
     col, who = col[order], who[order]
+    one = np.flatnonzero(left)
+    two = one if left.all() else np.flatnonzero(~left)
     for c in range(0, columns, step):
         a, b = np.searchsorted(col, [c, c + step])
         part = np.zeros((m, step), np.float32)
         part[who[a:b], col[a:b] - c] = 1
-        total += part @ part.T
-    x, y = np.nonzero(np.triu(total, 1))
-    if not left.all():
-        cross = left[x] != left[y]
-        x, y = x[cross], y[cross]
+        total[np.ix_(one, two)] += part[one] @ part[two].T
+    x, y = np.nonzero(np.triu(total, 1) if left.all() else total)
     near = 100 * np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
     x, y = x[near], y[near]
     if len(x):
@@ -448,28 +452,32 @@ def _count(threshold: int):
 
 
 def similar_pairs(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass: np.ndarray, n: int, threshold: int) -> DataFrame:
-    """(a, na, b, nb) for every two classes whose sets satisfy the threshold. classes: (cid, n, rep)."""
+    """(a, na, b, nb) for every two classes whose sets satisfy the threshold. classes: (cid, n, rep).
+
+    Candidates go by node, the first 40 bits of a class id; should two classes share one, both are
+    counted.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
     shared_level = sc.broadcast(level.astype(np.uint64))
     share = prefix_lengths(np.array([1000]), threshold)[0][0] / 1000
     fragments = int(max(1, mass.sum() * share // FRAGMENT))
     prefix = texts(docs).select("text").mapInArrow(_prefixes(n, threshold, shared_level, fragment_cuts(mass, fragments)), "fragment int, packed binary")
-    pairs = prefix.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_find_pairs(threshold), "a long, na long, b long, nb long")
-    pairs = keep(pairs.distinct())
-    components = connected(pairs.filter("a != b"))
+    pairs = prefix.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_find_pairs(threshold), "a long, b long")
+    components = connected(keep(pairs.distinct()))
     sizes = components.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     members = keep(
         components.join(sizes, "label").select(
-            F.col("node").alias("cid"), "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("block")
+            "node", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("block")
         )
     )
-    reps = classes.join(members.select("cid"), "cid", "left_semi").select(F.coalesce("rep", F.lit(-1)).alias("rep"))
+    node = F.shiftrightunsigned("cid", 24)
+    reps = classes.withColumn("node", node).join(members.select("node"), "node", "left_semi").select(F.coalesce("rep", F.lit(-1)).alias("rep"))
     wanted = sc.broadcast(bloom_of(reps))
     segments = texts(docs).mapInArrow(_segments(n, shared_level, fragment_cuts(mass, SEGMENTS), wanted), "cid long, n long, segment int, keys binary")
     # a class meets every other block of its component once, on either side
     held = (
-        segments.join(members, "cid")
+        segments.withColumn("node", node).join(members, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "segment", "cid", "n", "block", "keys")
     )
