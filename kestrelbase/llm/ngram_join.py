@@ -38,6 +38,8 @@ FRAGMENT = 1 << 19
 #: Vertical segments of the counting step, and classes in a block of it.
 SEGMENTS, BLOCK = 4, 512
 BLOOM_BITS = 1 << 25
+#: Candidate classes that may be broadcast, of about 40 bytes each.
+BROADCAST_MEMBERS = 500_000
 
 
 def ngram_hashes(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -475,9 +477,11 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass:
     reps = classes.withColumn("node", node).join(members.select("node"), "node", "left_semi").select(F.coalesce("rep", F.lit(-1)).alias("rep"))
     wanted = sc.broadcast(bloom_of(reps))
     segments = texts(docs).mapInArrow(_segments(n, shared_level, fragment_cuts(mass, SEGMENTS), wanted), "cid long, n long, segment int, keys binary")
+    # so many members or fewer go to the segments, else the segments to them
+    near = F.broadcast(members) if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS else members
     # a class meets every other block of its component once, on either side
     held = (
-        segments.withColumn("node", node).join(members, "node")
+        segments.withColumn("node", node).join(near, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "segment", "cid", "n", "block", "keys")
     )
