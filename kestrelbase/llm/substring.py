@@ -7,8 +7,8 @@ any character.  Of each digest's occurrences the first (by id, then text hash, t
 stays.  A run of adjacent later occurrences goes if it is at least ``least_bytes`` long;
 a shorter one may be chance and stays.
 
-Within a task a digest's later occurrences are known to be repeats at once; only its first one
-there is shuffled, so a passage that a third of all texts share is one row a task.
+Within a slice of a task's chunks a digest's later occurrences are known to be repeats at once; only its
+first one there is shuffled, so a passage that a third of all texts share is one row a slice.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ U = np.uint64
 MEAN_WORDS, LEAST_BYTES = 6, 120
 #: Bytes without white space after which any character may end a chunk, and the bytes of the longest chunk.
 SOLID, LONGEST = 64, 4096
+#: Chunks in a slice: what a task holds at a time.
+SLICE = 1 << 19
 
 _GEAR = np.random.Generator(np.random.PCG64(97)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -91,7 +93,7 @@ def text_hashes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(mean_words: int):
-    """Rows (doc_id, text_hash, at, size, digest, source): a task's first occurrences have their digest, later ones the id of the first one's row."""
+    """Rows (doc_id, text_hash, at, size, digest, source): a slice's first occurrences have their digest, later ones the id of the first one's row."""
     schema = "doc_id long, text_hash long, at int, size int, digest long, source long"
 
     def rows(ids, null, th, at, size, digest=None, source=None, source_null=None) -> Iterator[pa.RecordBatch]:
@@ -111,23 +113,20 @@ def _occurrences(mean_words: int):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # this task's first occurrence of each digest so far, as parallel arrays sorted by digest
-        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         fresh: list[tuple[np.ndarray, ...]] = []
         held = 0
 
-        def merge() -> tuple[tuple[np.ndarray, ...], Iterator[pa.RecordBatch]]:
-            digest, ids, null, th, at, size = (np.concatenate(x) for x in zip(best, *fresh, strict=True))
+        def close() -> Iterator[pa.RecordBatch]:
+            digest, ids, null, th, at, size = (np.concatenate(x) for x in zip(*fresh, strict=True))
             order = np.lexsort((at, th, ids, null, digest))
             digest, ids, null, th, at, size = (x[order] for x in (digest, ids, null, th, at, size))
             new = np.ones(len(digest), bool)
             new[1:] = digest[1:] != digest[:-1]
-            late = ~new
             # the same row twice is one text: its chunks don't repeat each other
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            twin = late & (ids == ids[lead]) & (null == null[lead]) & (th == th[lead]) & (at == at[lead])
-            late &= ~twin
-            return tuple(x[new] for x in (digest, ids, null, th, at, size)), rows(ids[late], null[late], th[late], at[late], size[late], None, ids[lead[late]], null[lead[late]])
+            late = ~new & ~((ids == ids[lead]) & (null == null[lead]) & (th == th[lead]) & (at == at[lead]))
+            yield from rows(ids[late], null[late], th[late], at[late], size[late], None, ids[lead[late]], null[lead[late]])
+            yield from rows(ids[new], null[new], th[new], at[new], size[new], digest[new])
 
         for rb in batches:
             doc = rb.column("doc_id")
@@ -138,15 +137,11 @@ def _occurrences(mean_words: int):
                 n = np.diff(bounds)
                 fresh.append((digest, np.repeat(doc[lo:hi], n), np.repeat(null_id[lo:hi], n), np.repeat(text_hashes(buf, offs), n), starts - np.repeat(offs[:-1], n), ends - starts))
                 held += len(digest)
-                if held > 1 << 19:
-                    best, out = merge()
+                if held > SLICE:
+                    yield from close()
                     fresh, held = [], 0
-                    yield from out
         if fresh:
-            best, out = merge()
-            yield from out
-        digest, ids, null, th, at, size = best
-        yield from rows(ids, null, th, at, size, digest)
+            yield from close()
 
     return run, schema
 

@@ -9,7 +9,9 @@ code-point definition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +56,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """Let this process give the memory of large arrays and batches back at once, so that reused workers don't grow."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library: it only saves memory
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets from 0) of runs of rows of at most ``limit`` bytes; a null is an empty text."""
+    lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
