@@ -11,7 +11,7 @@ from kestrelbase.sources.catalog import Catalog
 
 @pytest.fixture(scope="module")
 def products(spark):
-    rows = [(f"p{i:02d}", f"Product {i:02d}", "electronics" if i % 2 else "books", 10.0 * i, 5 * i) for i in range(1, 21)]
+    rows = [(f"p{i:02d}", f"Item no {i:02d}", "tools" if i % 2 else "books", 10.0 * i, 5 * i) for i in range(1, 21)]
     return spark.createDataFrame(rows, "_id string, name string, category string, price double, stock long")
 
 
@@ -25,7 +25,7 @@ def ids(df):
 
 
 def test_filter_sort_limit(products):
-    got = Query(products).where("category").eq("electronics").where("price").gte(50.0).order_by("price", True).limit(3).all().collect()
+    got = Query(products).where("category").eq("tools").where("price").gte(50.0).order_by("price", True).limit(3).all().collect()
     assert [r["_id"] for r in got] == ["p19", "p17", "p15"]
 
 
@@ -39,7 +39,7 @@ def test_count_and_first(products):
 def test_group_sums_are_not_inflated(products):
     got = {r["category"]: r for r in Query(products).group_by("category").agg(Agg("count", alias="n"), Agg("sum", "price"), Agg("avg", "price"), Agg("min", "price"), Agg("max", "price")).all().collect()}
     assert tuple(got["books"])[1:] == (10, 1100.0, 110.0, 20.0, 200.0)
-    assert tuple(got["electronics"])[1:] == (10, 1000.0, 100.0, 10.0, 190.0)
+    assert tuple(got["tools"])[1:] == (10, 1000.0, 100.0, 10.0, 190.0)
 
 
 def test_aggregate_over_nothing_has_no_row(products):
@@ -114,7 +114,7 @@ def test_catalog_and_api(spark, products, tmp_path):
     c.register("collection", "products", products)
     got = api.documents(c, {"collection": "products", "filters": [{"field": "price", "op": "lt", "value": 50.0}], "order_by": "price", "order_desc": True, "limit": 2, "select": ["_id"]}).collect()
     assert [r[0] for r in got] == ["p04", "p03"]
-    assert api.text_search(c, {"collection": "products", "query": "product 07"}).first()["_id"] == "p07"
+    assert api.text_search(c, {"collection": "products", "query": "item 07"}).first()["_id"] == "p07"
     c.backup(str(tmp_path))
     again = Catalog(spark)
     again.restore(str(tmp_path), [("collection", "products")])

@@ -25,15 +25,15 @@ def test_time_series(spark):
 
 
 def test_text_search(spark):
-    docs = spark.createDataFrame([(1, "Go embedded database for high performance applications"), (2, "Recipes for chocolate chip cookies and baking dessert"), (3, "High performance vector database in pure Go"), (4, None), (5, "!!")], "doc_id long, text string")
-    hits = textsearch.bm25(docs, "embedded database Go", 5)
+    docs = spark.createDataFrame([(1, "A small river engine that stores maps near the harbour"), (2, "Bread and soup from the kitchen across the square"), (3, "The engine of the river boat"), (4, None), (5, "!!")], "doc_id long, text string")
+    hits = textsearch.bm25(docs, "small engine river", 5)
     assert hits.first()["doc_id"] == 1
     index = textsearch.build_index(docs)
-    stored = textsearch.search_index(index, "embedded database Go", 5)
+    stored = textsearch.search_index(index, "small engine river", 5)
     assert [(r[0], round(r[1], 9)) for r in stored.collect()] == [(r["doc_id"], round(r["score"], 9)) for r in hits.collect()]
-    assert 1 not in [r[0] for r in textsearch.search_index(textsearch.remove(index, docs.filter("doc_id = 1")), "embedded Go", 5).collect()]
+    assert 1 not in [r[0] for r in textsearch.search_index(textsearch.remove(index, docs.filter("doc_id = 1")), "small river", 5).collect()]
     assert textsearch.bm25(docs, "", 5).count() == 0 and index[1].count() == 3
-    assert docs.select(textsearch.tokens(F.lit("CoCo is a High-Performance engine_2!"))).first()[0] == ["coco", "is", "a", "high", "performance", "engine", "2"]
+    assert docs.select(textsearch.tokens(F.lit("Kestrels are Far-Sighted birds_2!"))).first()[0] == ["kestrels", "are", "far", "sighted", "birds", "2"]
 
 
 def test_vectors(spark):
