@@ -62,11 +62,12 @@ def bm25(df: DataFrame, query: str, k: int = 10, text: str | None = "text", key:
     hits = counted.filter(held)
     if only is not None:
         hits = hits.filter(only)
-    # the statistics are a single row by construction
-    scored = hits.crossJoin(F.broadcast(stats))
+    # one row wide: a scalar subquery, computed once
+    scored = hits.withColumn("__st", stats.select(F.struct(*stats.columns)).scalar())
+    st = lambda name: F.col("__st")[name]
     score = reduce(
         lambda a, b: a + b,
-        (F.lit(float(m)) * score_expr(F.col(f"__tf{i}").cast("double"), F.col("__dl").cast("double"), F.col(f"__df{i}"), F.col("__n"), F.col("__avgdl")) for i, m in enumerate(terms.values())),
+        (F.lit(float(m)) * score_expr(F.col(f"__tf{i}").cast("double"), F.col("__dl").cast("double"), st(f"__df{i}"), st("__n"), st("__avgdl")) for i, m in enumerate(terms.values())),
     )
     out = scored.withColumn("score", score).select(*df.columns, "score").orderBy(F.desc("score"), key)
     return out.limit(k) if k > 0 else out
@@ -93,9 +94,9 @@ def search_index(index: tuple[DataFrame, DataFrame], query: str, k: int = 10, ke
     found = postings.filter(F.col("term").isin(*terms)) if terms else postings.limit(0)
     df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    # one row a query term, and one row
-    per_term = F.broadcast(df.join(weights, "term").crossJoin(stats))
-    out = found.join(per_term, "term").join(lengths, key).groupBy(key).agg(F.sum(F.col("m") * score_expr(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("df"), F.col("n"), F.col("avgdl"))).alias("score"))
+    # a row for each term of the query
+    per_term = F.broadcast(df.join(weights, "term").withColumn("st", stats.select(F.struct("n", "avgdl")).scalar()))
+    out = found.join(per_term, "term").join(lengths, key).groupBy(key).agg(F.sum(F.col("m") * score_expr(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("df"), F.col("st.n"), F.col("st.avgdl"))).alias("score"))
     out = out.orderBy(F.desc("score"), key)
     return out.limit(k) if k > 0 else out
 
