@@ -71,7 +71,42 @@ QUERIES = {
     "op10_weak_supervision_rules": op10_weak_supervision_rules,
 }
 
+
+
+def _crc_table() -> str:
+    """The 256 remainders of the byte-wise CRC-32, as a DuckDB list."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return str(out) + "::BIGINT[]"
+
+
 ORACLE_SQL = {
+    # binary search of the capacity, each step a greedy fill; then cuts from the left, each as near to its even share as the capacity permits
+    "op2_minimax_shards": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS k FROM documents),
+g AS (SELECT k, sum(strlen(t) + 1)::BIGINT AS size FROM d GROUP BY k),
+o AS (SELECT k, size, (sum(size) OVER (ORDER BY k))::BIGINT AS p FROM g),
+a AS (SELECT list_prepend(0, list(p ORDER BY p)) AS ps, max(p) AS total, max(size) AS most FROM o),
+b AS (SELECT greatest(ceil(total / 16)::BIGINT, most) AS low, total AS high FROM a
+  UNION ALL
+  SELECT CASE WHEN ok THEN low ELSE middle + 1 END, CASE WHEN ok THEN middle ELSE high END
+  FROM (SELECT low, high, (low + high) // 2 AS middle,
+    list_reduce(range(16), lambda s, i: list_max(list_filter(ps, lambda x: x <= s + (low + high) // 2)), 0::BIGINT) = total AS ok FROM b, a WHERE low < high)),
+c AS (SELECT min(high) AS cap FROM b),
+e AS (SELECT 16 AS j, total AS v FROM a UNION ALL SELECT j - 1, list_min(list_filter(ps, lambda x: x >= v - cap)) FROM e, a, c WHERE j > 1),
+f AS (SELECT 0 AS j, 0::BIGINT AS v UNION ALL
+  SELECT f.j + 1, least(greatest(list_filter(ps, lambda x: abs(16 * x - total * (f.j + 1)) = list_min(list_transform(ps, lambda y: abs(16 * y - total * (f.j + 1)))))[1], e.v, f.v), list_max(list_filter(ps, lambda x: x <= f.v + cap)))
+  FROM f JOIN e ON e.j = f.j + 1, a, c WHERE f.j < 15),
+cuts AS (SELECT list(v) AS vs FROM f WHERE j > 0),
+s AS (SELECT k, len(list_filter(vs, lambda v: v <= p - size))::INTEGER AS shard FROM o, cuts)
+SELECT doc_id, (strlen(t) + 1)::BIGINT AS size,
+  xor(list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::BIGINT), lambda x, y: xor(x >> 8, list_extract({_crc_table()}, (xor(x, y) & 255) + 1)), 4294967295::BIGINT), 4294967295) AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, d.k) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN s ON s.k = d.k
+""",
     "op3_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
