@@ -19,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from kestrelbase.llm import textvec as tv
-from kestrelbase.llm.common import keep
 
 U = np.uint64
-MEAN_WORDS, LEAST_BYTES = 6, 120
+MEAN_WORDS, LEAST_BYTES = 5, 64
 #: Bytes without white space after which any character may end a chunk, and the bytes of the longest chunk.
-SOLID, LONGEST = 64, 4096
+SOLID, LONGEST = 64, 512
 #: Chunks in a slice: what a task holds at a time.
 SLICE = 1 << 19
 
@@ -64,16 +64,18 @@ def chunk_ends(buf: np.ndarray, offs: np.ndarray, mean_words: int = MEAN_WORDS)
     gap[:-1] &= ~space[1:]
     whole = np.ones(n, bool)
     whole[:-1] = (buf[1:] & 0xC0) != 0x80
-    end = (gap & (h % np.uint32(mean_words) == 0)) | (whole & (at - last >= SOLID) & (h % np.uint32(SOLID) == 0))
+    end = (gap & (h % np.uint32(mean_words) == 0)) | (whole & (at - last >= SOLID) & (h % np.uint32(16) == 0))
     end[offs[1:][np.diff(offs) > 0] - 1] = True
     ends = np.flatnonzero(end) + 1
     long = np.flatnonzero(np.diff(ends, prepend=0) > LONGEST)
     if len(long):
-        more = []
+        more, words = [], np.flatnonzero(gap) + 1
         for i in long.tolist():
             b = int(ends[i - 1]) if i else 0
             while ends[i] - b > LONGEST:
-                b += LONGEST
+                # what repeats itself has no boundary of its own: cut at a word, so that its pieces are alike
+                near = int(words[np.searchsorted(words, b + LONGEST, side="right") - 1]) if len(words) else 0
+                b = near if near > b else b + LONGEST
                 while buf[b] & 0xC0 == 0x80:
                     b -= 1
                 more.append(b)
@@ -93,24 +95,22 @@ def text_hashes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(mean_words: int):
-    """Rows (doc_id, text_hash, at, size, digest, source): a slice's first occurrences have their digest, later ones the id of the first one's row."""
-    schema = "doc_id long, text_hash long, at int, size int, digest long, source long"
+    """Rows (doc_id, text_hash, spot, digest, source) of all chunks; spot: place, size (12 bits) and whether it is late (1 bit).
 
-    def rows(ids, null, th, at, size, digest=None, source=None, source_null=None) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(ids), 1 << 17):
-            s = slice(i, i + (1 << 17))
-            none = pa.nulls(len(ids[s]), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[s], mask=null[s]),
-                    pa.array(th[s]),
-                    pa.array(at[s].astype(np.int32)),
-                    pa.array(size[s].astype(np.int32)),
-                    none if digest is None else pa.array(digest[s]),
-                    none if source is None else pa.array(source[s], mask=source_null[s]),
-                ],
-                names=["doc_id", "text_hash", "at", "size", "digest", "source"],
-            )
+    A late row repeats an earlier one of its slice, whose id is its source; it has a digest of its own, as
+    it needs no judgement.
+    """
+    schema = "doc_id long, text_hash long, spot long, digest long, source long"
+
+    def rows(ids, null, th, at, size, digest, source=None, source_null=None) -> Iterator[pa.RecordBatch]:
+        late = source is not None
+        spot = at * 8192 + (size - 1) * 2 + late
+        if late:
+            digest = tv.mix(th.view(np.uint64) + at.astype(np.uint64)).view(np.int64)
+        for i in range(0, len(ids), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            own = pa.array(source[s], mask=source_null[s]) if late else pa.nulls(len(ids[s]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s], mask=null[s]), pa.array(th[s]), pa.array(spot[s]), pa.array(digest[s]), own], names=["doc_id", "text_hash", "spot", "digest", "source"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh: list[tuple[np.ndarray, ...]] = []
@@ -125,7 +125,7 @@ def _occurrences(mean_words: int):
             # the same row twice is one text: its chunks don't repeat each other
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             late = ~new & ~((ids == ids[lead]) & (null == null[lead]) & (th == th[lead]) & (at == at[lead]))
-            yield from rows(ids[late], null[late], th[late], at[late], size[late], None, ids[lead[late]], null[lead[late]])
+            yield from rows(ids[late], null[late], th[late], at[late], size[late], digest[late], ids[lead[late]], null[lead[late]])
             yield from rows(ids[new], null[new], th[new], at[new], size[new], digest[new])
 
         for rb in batches:
@@ -147,16 +147,25 @@ def _occurrences(mean_words: int):
 
 
 def repeats(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """(doc_id, text_hash, at, size, source) of every chunk that isn't its digest's first occurrence; source: the id of a row with an earlier one."""
+    """(doc_id, text_hash, at, size, source) of every chunk that isn't its digest's first occurrence; source: the id of a row with an earlier one.
+
+    One shuffle by digest; the window looks at a row and at the first one of its digest only.
+    """
     run, schema = _occurrences(mean_words)
-    found = keep(docs.select("doc_id", "text").mapInArrow(run, schema))
-    firsts = found.filter("digest is not null")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "at")
-    shared = firsts.groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    later = firsts.join(shared, "digest").filter(own != F.col("first"))
-    # two identical rows in two tasks are one text
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("at") == F.col("first.at"))
-    return found.filter("digest is null").select("doc_id", "text_hash", "at", "size", "source").union(later.filter(~same).select("doc_id", "text_hash", "at", "size", F.col("first.doc_id")))
+    found = docs.select("doc_id", "text").mapInArrow(run, schema)
+    late = F.col("spot") % 2 == 1
+    order = Window.partitionBy("digest").orderBy(late, F.col("doc_id").isNull(), "doc_id", "text_hash", "spot")
+    first = F.first(F.struct("doc_id", "text_hash", "spot")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    judged = found.withColumn("first", first).withColumn("nth", F.row_number().over(order))
+    # two identical rows in two slices are one text
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("spot") == F.col("first.spot"))
+    return judged.filter(late | ((F.col("nth") > 1) & ~same)).select(
+        "doc_id",
+        "text_hash",
+        F.shiftright("spot", 13).cast("int").alias("at"),
+        (F.shiftright("spot", 1) % 4096 + 1).cast("int").alias("size"),
+        F.when(late, F.col("source")).otherwise(F.col("first.doc_id")).alias("source"),
+    )
 
 
 def runs(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST_BYTES) -> DataFrame:
