@@ -7,6 +7,7 @@ max_retries, state (ready, in_flight, dead), and dedup_id.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -78,6 +79,15 @@ class Broker:
     dead: list[str] = field(default_factory=list)
     seen: dict[str, float] = field(default_factory=dict)
 
+    def dump(self) -> str:
+        return json.dumps(vars(self))
+
+    @classmethod
+    def load(cls, text: str) -> Broker:
+        state = json.loads(text)
+        state["heap"] = [tuple(x) for x in state["heap"]]
+        return cls(**state)
+
     def tick(self, now: float) -> None:
         """Leases that have run out go back to ready, or to the dead letters."""
         for k in [k for k, m in self.flying.items() if m["visible"] <= now]:
@@ -150,8 +160,6 @@ def replay(log: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         now, broker = None, Broker()
         for rb in batches:
             out = []

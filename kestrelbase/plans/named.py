@@ -464,6 +464,16 @@ def queue_dlq(s, d):
     return queue.dead_letters(queue.nack(m, m.filter("id % 2 = 0"))).select("id", "queue")
 
 
+@query()
+def queue_replay(s, d):
+    kind = F.when(F.col("event_type").isin("view", "signup", "purchase"), "enqueue").when(F.col("event_type") == "click", "dequeue").otherwise("nack")
+    log = table(s, d, "events").select(
+        (F.col("user_id") % 20).cast("string").alias("queue"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), kind.alias("op"), F.col("event_id").cast("string").alias("id"),
+        F.to_json(F.struct((F.col("event_id") % 256).alias("priority"), F.col("user_id").cast("string").alias("dedup_id"))).alias("args"),
+    )
+    return queue.replay(log.withColumn("at", F.col("at") / 1e6))
+
+
 @query(
     "WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts FROM events), a AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY ALL UNION ALL "
     "SELECT a.user_id, a.event_type, min(e.ts) FROM a JOIN e ON e.user_id = a.user_id AND e.event_type = a.event_type AND e.ts >= a.ts + INTERVAL 1 DAY GROUP BY a.user_id, a.event_type, a.ts) "

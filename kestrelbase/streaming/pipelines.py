@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kestrelbase.operators import dedup, timeseries
+from kestrelbase.operators.queue import Broker
 from kestrelbase.sources.shared import shared_dir
 
 
@@ -63,6 +65,28 @@ def fixed_window_dedup(stream: DataFrame, keys: list[str], seconds: float, ts: s
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, T.StructType([T.StructField("last", T.LongType())]), "append", GroupStateTimeout.NoTimeout)
 
 
+def queue_operations(log: DataFrame) -> DataFrame:
+    """queue, seq, op, applied, id of a stream of queue operations (queue, seq, at seconds, op, id, args JSON).
+
+    A queue's open messages, leases and deduplication window are its state; a lease's end is noticed with
+    the queue's next operation.  Operations are applied in order of seq within a micro-batch.
+    """
+    names = ["queue", "seq", "op", "applied", "id"]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        broker = Broker.load(state.get[0]) if state.exists else Broker()
+        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        out = []
+        for r in rows.itertuples():
+            done, which = broker.apply(r.at, r.op, r.id, json.loads(r.args) if r.args else {})
+            out.append((key[0], r.seq, r.op, done, which))
+        state.update((broker.dump(),))
+        yield pd.DataFrame(out, columns=names)
+
+    schema = "queue string, seq long, op string, applied boolean, id string"
+    return log.groupBy("queue").applyInPandasWithState(run, schema, "broker string", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that its source has now and give the result as a table in the shared folder."""
     spark = stream.sparkSession

@@ -154,3 +154,19 @@ def test_streamed_rollup_keeps_late_data_within_the_watermark(spark, tmp_path):
     out = pipelines.drain(pipelines.rollup(stream, "value", 3600, late="1 hour"))
     # append mode gives a window once the watermark has passed its end
     assert [(r["count"], r["total"]) for r in out.collect()] == [(1, 1.0)]
+
+
+def test_streamed_queue_operations_are_those_of_the_replay(spark, tmp_path):
+    rnd = random.Random(21)
+    ops = []
+    for i in range(400):
+        op = rnd.choice(["enqueue", "enqueue", "dequeue", "ack", "nack", "extend"])
+        args = {"enqueue": '{"priority": %d, "delay": %d, "dedup_id": "%d"}' % (rnd.randrange(9), rnd.randrange(3), rnd.randrange(60)), "extend": '{"by": 3}'}.get(op)
+        ops.append((f"q{i % 3}", i, i / 2, op, f"m{i if op == 'enqueue' else rnd.randrange(400)}", args))
+    schema = "queue string, seq long, at double, op string, id string, args string"
+    for part in range(4):
+        spark.createDataFrame(ops[part * 100 : part * 100 + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    want = queue.replay(spark.createDataFrame(ops, schema)).collect()
+    assert sorted(map(tuple, pipelines.drain(pipelines.queue_operations(stream)).collect())) == sorted(map(tuple, want))
+    assert {r["applied"] for r in want} == {True, False}

@@ -44,3 +44,8 @@ def test_every_sql_has_its_query():
 
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() == 20
+
+
+@pytest.mark.parametrize("name", sorted(set(named.QUERIES) - set(named.ORACLE_SQL)))
+def test_query_without_sql_gives_rows(spark, name):
+    assert entry.queries()[name](spark, SF).count() > 0
