@@ -34,7 +34,9 @@ U = np.uint64
 SKETCH_BITS = 22
 CHUNK = 1 << 16
 #: Entries that one fragment of the order should hold.
-FRAGMENT = 1 << 19
+FRAGMENT = 1 << 18
+#: Entries that a task packs at a time.
+HELD = 1 << 19
 #: Vertical segments of the counting step, and classes in a block of it.
 SEGMENTS, BLOCK = 4, 512
 BLOOM_BITS = 1 << 25
@@ -67,7 +69,7 @@ def ordered_sets(buf: np.ndarray, offs: np.ndarray, n: int, level: np.ndarray |
     """Each text's set as sorted keys of the global order, and the bounds of the sets."""
     keys, gb = ngram_hashes(buf, offs, n)
     if level is not None:
-        keys = (level[(keys >> U(64 - SKETCH_BITS)).astype(np.int64)] << U(58)) | (keys >> U(6))
+        keys = (level[(keys >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << U(58)) | (keys >> U(6))
     else:
         keys = keys >> U(6)
     tv.sort_within(keys, gb)
@@ -95,7 +97,7 @@ def _summaries(n: int):
             sizes, sigs = [], []
             for _, _, buf, offs in tv.passes(rb.column("text")):
                 keys, bounds = ordered_sets(buf, offs, n, None)
-                sketch += np.bincount((keys >> U(58 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                np.add.at(sketch, (keys >> U(58 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 sizes.append(np.diff(bounds))
                 sigs.append(signatures(keys, bounds))
             m = rb.num_rows
@@ -209,7 +211,7 @@ def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
                 node = np.repeat(sig.view(np.uint64) >> U(24), sizes)[take]
                 found.append((np.searchsorted(cut_at, keys[take], side="right").astype(np.int32), sign >> U(16), node, np.repeat(size_levels(sizes), sizes)[take] * 2 + small, before[take]))
                 held += len(small)
-                if held > 1 << 21:
+                if held > HELD:
                     yield from pack(found)
                     found, held = [], 0
         yield from pack(found)
@@ -461,7 +463,7 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass:
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    shared_level = sc.broadcast(level.astype(np.uint64))
+    shared_level = sc.broadcast(level)
     share = prefix_lengths(np.array([1000]), threshold)[0][0] / 1000
     fragments = int(max(1, mass.sum() * share // FRAGMENT))
     prefix = texts(docs).select("text").mapInArrow(_prefixes(n, threshold, shared_level, fragment_cuts(mass, fragments)), "fragment int, packed binary")

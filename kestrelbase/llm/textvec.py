@@ -57,18 +57,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def lean() -> None:
+def lean() -> ctypes.CDLL | None:
     """Let this process give the memory of large arrays and batches back at once, so that reused workers don't grow."""
     try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library: it only saves memory
-        return
+        return None
     pa.set_memory_pool(pa.system_memory_pool())
+    return libc
 
 
 def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets from 0) of runs of rows of at most ``limit`` bytes; a null is an empty text."""
-    lean()
+    libc = lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -87,6 +90,8 @@ def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int
         to = min(max(to, at + 1), n)
         yield at, to, raw[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
+    if libc is not None:
+        libc.malloc_trim(0)
 
 
 def spans_of(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
