@@ -20,7 +20,7 @@ U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 #: Bytes of text that one numpy pass sees; a longer single text is one pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
