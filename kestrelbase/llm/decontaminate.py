@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into n-grams.  A pass over all training texts counts each of them; an
-item's rarer half are its seeds.  A second pass finds the seeds in the training texts, and
+Test items are cut into n-grams, and all of them are the item's seeds: an edited copy may keep any
+of them.  A pass finds the seeds in the training texts, and
 wherever two or more seeds of an item lie near one diagonal it aligns the item's words with the
 words there.  The local alignment's score, over that of a perfect copy, decides, so
 that edited copies with changed, lost or added words are found too.
@@ -56,9 +56,6 @@ class Items:
         lo = np.minimum(np.searchsorted(self.seeds, grams[at]), len(self.seeds) - 1)
         return at[self.seeds[lo] == grams[at]]
 
-    def only(self, rows: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.seeds[rows], self.item[rows], self.place[rows], self.sizes)
-
 
 def split_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes, bounds) of words: letters and digits, lower-cased in A-Z, without ASCII punctuation."""
@@ -94,18 +91,6 @@ def prepare(rows: list[tuple[int, str]], seed: int = SEED) -> Items:
     return Items(ids, words, s[order], i[order], p[order], sorted({min(seed, len(w)) for w in words}))
 
 
-def rarer_half(items: Items, counts: dict[int, int], least: int = 8) -> Items:
-    """Of each item's seeds the half that the corpus holds least often, and at least ``least`` of them."""
-    n = np.array([counts.get(int(s), 0) for s in items.seeds.view(np.int64)], np.int64)
-    keep = np.zeros(len(n), bool)
-    order = np.lexsort((items.place, n, items.item))
-    bounds = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        keep[order[a : a + max(least, -(-(b - a) // 2))]] = True
-        keep[order[min(b, a + max(least, -(-(b - a) // 2))) : b]] = False
-    return items.only(np.flatnonzero(keep))
-
-
 def candidates(hits: np.ndarray, items: Items, grams: np.ndarray, gb: np.ndarray, wb: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word, last word + 1, seeds) of the stretches where an item's seeds lie near one diagonal."""
     lo = np.searchsorted(items.seeds, grams[hits], side="left")
@@ -175,22 +160,6 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return scores
 
 
-def _count(items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Items = items.value
-        total: dict[int, int] = {}
-        for rb in batches:
-            for _, _, buf, offs in tv.passes(rb.column("text")):
-                _, _, h, wb = split_words(buf, offs)
-                for _, g, _ in grams_of(h, wb, own.sizes):
-                    found, n = np.unique(g[own.find(g)], return_counts=True)
-                    for s, c in zip(found.view(np.int64).tolist(), n.tolist(), strict=True):
-                        total[s] = total.get(s, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["seed", "n"])
-
-    return run
-
-
 def _match(items, threshold: float):
     names = ["doc_id", "item_id", "score", "n_seeds", "first_word", "last_word"]
 
@@ -249,9 +218,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
         if not items.ids:
             continue
         shared = spark.sparkContext.broadcast(items)
-        counts = only.select("text").mapInArrow(_count(shared), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        chosen = spark.sparkContext.broadcast(rarer_half(items, {int(s): int(n) for s, n in counts}))
-        part = only.mapInArrow(_match(chosen, threshold), "doc_id long, item_id long, score double, n_seeds long, first_word long, last_word long")
+        part = only.mapInArrow(_match(shared, threshold), "doc_id long, item_id long, score double, n_seeds long, first_word long, last_word long")
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, n_seeds long, first_word long, last_word long")

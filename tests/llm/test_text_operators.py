@@ -174,6 +174,20 @@ def test_leaks_against_brute_force(spark, make, odd_rows, monkeypatch):
     assert decontaminate.leaks(make(rows), none).count() == 0 and decontaminate.clean(make([]), none).count() == 0
 
 
+def test_leaks_of_an_only_copy_with_many_changed_words(spark, make):
+    rnd = random.Random(21)
+    items = [(i, prose(rnd, 40, 50_000)) for i in range(20)]
+    rows = []
+    for i, text in items:
+        copy = text.split()
+        for k in rnd.sample(range(40), 8 + i % 5):
+            copy[k] = f"changed{i}x{k}"
+        rows.append((100 + i, " ".join([prose(rnd, 30, 50_000), *copy, prose(rnd, 30, 50_000)])))
+    want = {(d, k) for d, t in rows for k, x in items if brute_align(x.split(), t.split()) >= 0.5}
+    found = decontaminate.leaks(make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and len(want) == 20
+
+
 def chunk_reference(rows):
     """Repeats by the definition: every later occurrence of a chunk, in order of id, text hash and place."""
     seen, out = {}, {}
