@@ -387,12 +387,15 @@ def _segments(n: int, level, cut_at: np.ndarray, wanted):
     return run
 
 
-def partial_overlaps(cid: np.ndarray, size: np.ndarray, keys: list[np.ndarray], left: np.ndarray, threshold: int, most: int = 1 << 21) -> Iterator[np.ndarray]:
+def partial_overlaps(cid: np.ndarray, size: np.ndarray, keys: list[np.ndarray], left: np.ndarray | None, threshold: int, most: int = 1 << 21) -> Iterator[np.ndarray]:
     """(a, na, b, nb, overlap) within one segment of one pair of blocks.
 
-    left: True for classes of the first block; where both sides are given, only pairs across
-    them count.  Pairs whose sizes rule similarity out are skipped.
+    left: True for classes of the first of two blocks, of which only pairs across count; None
+    for a block with itself.  Pairs whose sizes rule similarity out are skipped.
     """
+    if left is not None and (left.all() or not left.any()):
+        # one block has nothing in this segment; pairs within the other count where it meets itself
+        return
     k = np.concatenate(keys)
     who = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
     _, col, times = np.unique(k, return_inverse=True, return_counts=True)
@@ -406,14 +409,14 @@ def partial_overlaps(cid: np.ndarray, size: np.ndarray, keys: list[np.ndarray],
     total = np.zeros((m, m), np.float32)
     order = np.argsort(col, kind="stable")
     col, who = col[order], who[order]
-    one = np.flatnonzero(left)
-    two = one if left.all() else np.flatnonzero(~left)
+    one = np.arange(m) if left is None else np.flatnonzero(left)
+    two = one if left is None else np.flatnonzero(~left)
     for c in range(0, columns, step):
         a, b = np.searchsorted(col, [c, c + step])
         part = np.zeros((m, step), np.float32)
         part[who[a:b], col[a:b] - c] = 1
         total[np.ix_(one, two)] += part[one] @ part[two].T
-    x, y = np.nonzero(np.triu(total, 1) if left.all() else total)
+    x, y = np.nonzero(np.triu(total, 1) if left is None else total)
     near = 100 * np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
     x, y = x[near], y[near]
     if len(x):
@@ -430,8 +433,9 @@ def _count(threshold: int):
 
         def close() -> list[np.ndarray]:
             cid, size, block, keys = zip(*rows, strict=True)
-            block = np.array(block)
-            return list(partial_overlaps(np.array(cid), np.array(size), [np.frombuffer(x, np.uint64) for x in keys], block == block[0], threshold))
+            _, i, j, _ = now
+            left = None if i == j else np.array(block) == i
+            return list(partial_overlaps(np.array(cid), np.array(size), [np.frombuffer(x, np.uint64) for x in keys], left, threshold))
 
         def send() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=names)

@@ -69,6 +69,19 @@ def test_large_components_are_counted_in_blocks(make, monkeypatch):
     assert as_set(ngram_join.near_duplicates(make(rows), 3, 60)) == sorted(map(str, brute(rows, 3, 60)))
 
 
+def test_a_segment_held_by_one_block_counts_once(make, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "SEGMENTS", 64)
+    rnd, rows = random.Random(9), []
+    for c in range(0, 800, 100):
+        # of twelve near copies two share a passage, and are just short of similar to each other
+        body, own = prose(rnd, 62, 50_000).split(), prose(rnd, 8, 50_000)
+        rows += [(c + i, " ".join(body[i % 4 : 62 - i // 4])) for i in range(10)]
+        rows += [(c + 10, " ".join([*body[9:], own, prose(rnd, 2, 50_000)])), (c + 11, " ".join([own, prose(rnd, 2, 50_000), *body[:-9]]))]
+    want = brute(rows)
+    assert as_set(ngram_join.near_duplicates(make(rows))) == sorted(map(str, want)) and all(n > 1 for _, _, n, _ in want)
+
+
 def test_one_of_each(make, odd_rows):
     kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(make(odd_rows)).collect()]
     ids = [k[0] for k in kept]
