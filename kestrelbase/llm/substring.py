@@ -3,11 +3,13 @@
 A gear rolling hash over the last 32 bytes ends a chunk at a word's end where it is
 divisible by ``mean_words``, so that a chunk's ends depend on the text around them alone and an
 insertion moves no later boundary.  A stretch without white space is cut by the same hash at
-any character.  Of each digest's occurrences the first (by id, then text hash, then place)
-stays.  A run of adjacent later occurrences goes if it is at least ``least_bytes`` long;
-a shorter one may be chance and stays.
+any character.  A window is a run of adjacent chunks that is just ``least_bytes`` long or longer, counted from
+its first chunk or back from its last one; its digest is that of the sequence.  Of each digest's occurrences
+the first (by id, then text hash, then place) stays, and later ones go, so that what goes is contiguous
+in an earlier text too.  The windows from the front reach the start of a repeated passage, those from the
+back its end.  A shorter repeat may be chance and stays.
 
-Within a slice of a task's chunks a digest's later occurrences are known to be repeats at once; only its
+Within a slice of a task's windows a digest's later occurrences are known to be repeats at once; only its
 first one there is shuffled, so a passage that a third of all texts share is one row a slice.
 """
 
@@ -27,7 +29,7 @@ U = np.uint64
 MEAN_WORDS, LEAST_BYTES = 5, 64
 #: Bytes without white space after which any character may end a chunk, and the bytes of the longest chunk.
 SOLID, LONGEST = 64, 512
-#: Chunks in a slice: what a task holds at a time.
+#: Windows in a slice: what a task holds at a time.
 SLICE = 1 << 19
 
 _GEAR = np.random.Generator(np.random.PCG64(97)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -90,12 +92,30 @@ def chunks(buf: np.ndarray, offs: np.ndarray, mean_words: int = MEAN_WORDS) -> t
     return starts, ends, tv.span_hashes(buf, starts, ends, lower=False).view(np.int64), np.searchsorted(starts, offs)
 
 
+def windows(starts: np.ndarray, ends: np.ndarray, digests: np.ndarray, bounds: np.ndarray, least_bytes: int = LEAST_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, digests, bounds by text) of the windows of chunks, each once."""
+    n = len(starts)
+    if not n:
+        return starts, ends, digests, bounds
+    at, text = np.arange(n), tv.owner(bounds)
+    last = np.searchsorted(ends, starts + least_bytes, side="left")
+    first = np.searchsorted(starts, ends - least_bytes, side="right") - 1
+    on, back = last < bounds[1:][text], first >= bounds[:-1][text]
+    pair = np.unique(np.concatenate([at[on] * n + last[on], first[back] * n + at[back]]))
+    a, b = pair // n, pair % n
+    up, down = tv._powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(digests.view(np.uint64) * up[:n], out=sums[1:])
+    h = tv.mix((sums[b + 1] - sums[a]) * down[a] ^ (b - a).astype(np.uint64))
+    return starts[a], ends[b], h.view(np.int64), np.searchsorted(a, bounds)
+
+
 def text_hashes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return tv.span_hashes(buf, offs[:-1], offs[1:], lower=False).view(np.int64)
 
 
-def _occurrences(mean_words: int):
-    """Rows (doc_id, text_hash, spot, digest, source) of all chunks; spot: place, size (12 bits) and whether it is late (1 bit).
+def _occurrences(mean_words: int, least_bytes: int):
+    """Rows (doc_id, text_hash, spot, digest, source) of all windows; spot: place, size (24 bits) and whether it is late (1 bit).
 
     A late row repeats an earlier one of its slice, whose id is its source; it has a digest of its own, as
     it needs no judgement.
@@ -104,7 +124,7 @@ def _occurrences(mean_words: int):
 
     def rows(ids, null, th, at, size, digest, source=None, source_null=None) -> Iterator[pa.RecordBatch]:
         late = source is not None
-        spot = at * 8192 + (size - 1) * 2 + late
+        spot = at * (1 << 25) + (size - 1) * 2 + late
         if late:
             digest = tv.mix(th.view(np.uint64) + at.astype(np.uint64)).view(np.int64)
         for i in range(0, len(ids), 1 << 16):
@@ -122,7 +142,7 @@ def _occurrences(mean_words: int):
             digest, ids, null, th, at, size = (x[order] for x in (digest, ids, null, th, at, size))
             new = np.ones(len(digest), bool)
             new[1:] = digest[1:] != digest[:-1]
-            # the same row twice is one text: its chunks don't repeat each other
+            # the same row twice is one text: its windows don't repeat each other
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             late = ~new & ~((ids == ids[lead]) & (null == null[lead]) & (th == th[lead]) & (at == at[lead]))
             yield from rows(ids[late], null[late], th[late], at[late], size[late], digest[late], ids[lead[late]], null[lead[late]])
@@ -133,7 +153,7 @@ def _occurrences(mean_words: int):
             null_id = doc.is_null().to_numpy(zero_copy_only=False)
             doc = doc.fill_null(0).to_numpy()
             for lo, hi, buf, offs in tv.passes(rb.column("text")):
-                starts, ends, digest, bounds = chunks(buf, offs, mean_words)
+                starts, ends, digest, bounds = windows(*chunks(buf, offs, mean_words), least_bytes)
                 n = np.diff(bounds)
                 fresh.append((digest, np.repeat(doc[lo:hi], n), np.repeat(null_id[lo:hi], n), np.repeat(text_hashes(buf, offs), n), starts - np.repeat(offs[:-1], n), ends - starts))
                 held += len(digest)
@@ -146,12 +166,12 @@ def _occurrences(mean_words: int):
     return run, schema
 
 
-def repeats(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """(doc_id, text_hash, at, size, source) of every chunk that isn't its digest's first occurrence; source: the id of a row with an earlier one.
+def repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """(doc_id, text_hash, at, size, source) of every window that isn't its digest's first occurrence; source: the id of a row with an earlier one.
 
     One shuffle by digest; the window looks at a row and at the first one of its digest only.
     """
-    run, schema = _occurrences(mean_words)
+    run, schema = _occurrences(mean_words, least_bytes)
     found = docs.select("doc_id", "text").mapInArrow(run, schema)
     late = F.col("spot") % 2 == 1
     order = Window.partitionBy("digest").orderBy(late, F.col("doc_id").isNull(), "doc_id", "text_hash", "spot")
@@ -162,8 +182,8 @@ def repeats(docs: DataFrame, mean_words: int = MEAN_WORDS) -> DataFrame:
     return judged.filter(late | ((F.col("nth") > 1) & ~same)).select(
         "doc_id",
         "text_hash",
-        F.shiftright("spot", 13).cast("int").alias("at"),
-        (F.shiftright("spot", 1) % 4096 + 1).cast("int").alias("size"),
+        F.shiftright("spot", 25).cast("int").alias("at"),
+        (F.shiftright("spot", 1) % (1 << 24) + 1).cast("int").alias("size"),
         F.when(late, F.col("source")).otherwise(F.col("first.doc_id")).alias("source"),
     )
 
@@ -172,14 +192,14 @@ def runs(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST
     """(doc_id, text_hash, removed_bytes, spans, sources) of every text that loses something.
 
     spans: byte ranges [start, end) of the text that go, in order.  sources: ids of rows that hold an earlier
-    occurrence of what goes, one for each chunk, each once.
+    occurrence of what goes, one for each window, each once.
     """
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out, removed, sources = [], [], []
-            for found in rb.column("chunks").to_pylist():
+            for found in rb.column("windows").to_pylist():
                 own: list[list] = []
                 for c in found:
                     if own and own[-1][1] >= c["at"]:
@@ -187,7 +207,6 @@ def runs(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST
                         own[-1][2].add(c["source"])
                     else:
                         own.append([c["at"], c["at"] + c["size"], {c["source"]}])
-                own = [x for x in own if x[1] - x[0] >= least_bytes]
                 out.append([{"start": a, "end": b} for a, b, _ in own])
                 removed.append(sum(b - a for a, b, _ in own))
                 sources.append(sorted({s for x in own for s in x[2] if s is not None}))
@@ -196,7 +215,7 @@ def runs(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST
                 names=["doc_id", "text_hash", "removed_bytes", "spans", "sources"],
             )
 
-    grouped = repeats(docs, mean_words).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("at", "size", "source"))).alias("chunks"))
+    grouped = repeats(docs, mean_words, least_bytes).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("at", "size", "source"))).alias("windows"))
     return grouped.mapInArrow(join, "doc_id long, text_hash long, removed_bytes long, spans array<struct<start:int,end:int>>, sources array<long>").filter(F.size("spans") > 0)
 
 

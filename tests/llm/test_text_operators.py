@@ -225,6 +225,21 @@ def test_substrings_against_the_definition(make, odd_rows):
     assert all(set(report[i]["sources"]) & set(range(100, 120)) for i in range(101, 120))
 
 
+def test_pieces_of_unrelated_texts_are_no_repeat(make):
+    rnd = random.Random(22)
+    cut = lambda t: [t[a:b] for a, b in zip(*(x.tolist() for x in substring.chunks(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[:2]), strict=True)]
+    rows = [(i, prose(rnd, 60, 5000)) for i in range(200)]
+    mixed = []
+    for _, t in rows:
+        # one short chunk of each text, where it stays a chunk behind those before it
+        fit = [c for c in cut(t)[1:-1] if len(c) < substring.LEAST_BYTES and cut("".join([*mixed, c, "end"]))[:-1] == [*mixed, c]]
+        mixed += fit[:1] if len(mixed) < 12 else []
+    assert len(mixed) == 12 and len("".join(mixed)) > 3 * substring.LEAST_BYTES
+    later = {500: "".join([*mixed, "end"]), 501: " ".join([prose(rnd, 20, 5000), rows[150][1], prose(rnd, 20, 5000)])}
+    got = {r["doc_id"]: [later[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in substring.report(make(rows + list(later.items()))).collect()}
+    assert set(got) == {501} and all(x in rows[150][1] for x in got[501]) and len("".join(got[501])) > 150
+
+
 def test_insertions_move_no_later_boundary():
     rnd = random.Random(14)
     text = prose(rnd, 500, 5000)
