@@ -3,14 +3,15 @@
 A gear rolling hash over the last 32 bytes ends a chunk at a word's end where it is
 divisible by ``mean_words``, so that a chunk's ends depend on the text around them alone and an
 insertion moves no later boundary.  A stretch without white space is cut by the same hash at
-any character.  A window is a run of adjacent chunks that is just ``least_bytes`` long or longer, counted from
-its first chunk or back from its last one; its digest is that of the sequence.  Of each digest's occurrences
+any character, and no chunk is longer than LONGEST bytes.  From every chunk a window of adjacent chunks
+reaches just ``least_bytes`` or further, and another ends with the text; its digest is that of the sequence.  Of each digest's occurrences
 the first (by id, then text hash, then place) stays, and later ones go, so that what goes is contiguous
-in an earlier text too.  The windows from the front reach the start of a repeated passage, those from the
-back its end.  A shorter repeat may be chance and stays.
+in an earlier text too.  A shorter repeat may be chance and stays, as do the parts of a passage that lie in
+chunks it shares with the text around it.
 
-Within a slice of a task's windows a digest's later occurrences are known to be repeats at once; only its
-first one there is shuffled, so a passage that a third of all texts share is one row a slice.
+Within a slice of a task's windows a digest's later occurrences are known to be repeats at once.  Only its
+first one there is judged by the shuffle; the others go as the stretches they cover, so a passage that a
+third of all texts share is one row a slice and one a text.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from kestrelbase.llm import textvec as tv
 
 U = np.uint64
-MEAN_WORDS, LEAST_BYTES = 5, 64
+MEAN_WORDS, LEAST_BYTES = 4, 144
 #: Bytes without white space after which any character may end a chunk, and the bytes of the longest chunk.
-SOLID, LONGEST = 64, 512
+SOLID, LONGEST = 64, 128
 #: Windows in a slice: what a task holds at a time.
 SLICE = 1 << 19
 
@@ -75,11 +76,15 @@ def chunk_ends(buf: np.ndarray, offs: np.ndarray, mean_words: int = MEAN_WORDS)
         for i in long.tolist():
             b = int(ends[i - 1]) if i else 0
             while ends[i] - b > LONGEST:
-                # what repeats itself has no boundary of its own: cut at a word, so that its pieces are alike
-                near = int(words[np.searchsorted(words, b + LONGEST, side="right") - 1]) if len(words) else 0
-                b = near if near > b else b + LONGEST
-                while buf[b] & 0xC0 == 0x80:
-                    b -= 1
+                # what repeats itself has no boundary of its own: cut at the last word within reach, so that its
+                # pieces are alike, or where there is none at the last whole character
+                k = int(np.searchsorted(words, b + LONGEST, side="right")) - 1
+                if k >= 0 and words[k] > b:
+                    b = int(words[k])
+                else:
+                    b += LONGEST
+                    while buf[b] & 0xC0 == 0x80:
+                        b -= 1
                 more.append(b)
         ends = np.unique(np.concatenate([ends, np.array(more, np.int64)]))
     return ends
@@ -93,44 +98,62 @@ def chunks(buf: np.ndarray, offs: np.ndarray, mean_words: int = MEAN_WORDS) -> t
 
 
 def windows(starts: np.ndarray, ends: np.ndarray, digests: np.ndarray, bounds: np.ndarray, least_bytes: int = LEAST_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, digests, bounds by text) of the windows of chunks, each once."""
-    n = len(starts)
-    if not n:
+    """(starts, ends, digests, bounds by text) of the windows of chunks: one from every chunk that as much text follows, and one that ends with the text."""
+    if not len(starts):
         return starts, ends, digests, bounds
-    at, text = np.arange(n), tv.owner(bounds)
     last = np.searchsorted(ends, starts + least_bytes, side="left")
-    first = np.searchsorted(starts, ends - least_bytes, side="right") - 1
-    on, back = last < bounds[1:][text], first >= bounds[:-1][text]
-    pair = np.unique(np.concatenate([at[on] * n + last[on], first[back] * n + at[back]]))
-    a, b = pair // n, pair % n
-    up, down = tv._powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(digests.view(np.uint64) * up[:n], out=sums[1:])
-    h = tv.mix((sums[b + 1] - sums[a]) * down[a] ^ (b - a).astype(np.uint64))
+    a = np.flatnonzero(last < np.repeat(bounds[1:], np.diff(bounds)))
+    b = last[a]
+    final = bounds[1:][np.diff(bounds) > 0] - 1
+    back = np.searchsorted(starts, ends[final] - least_bytes, side="right") - 1
+    own = (back >= bounds[:-1][np.diff(bounds) > 0]) & (last[back] != final)
+    at = np.searchsorted(a, back[own], side="right")
+    a, b = np.insert(a, at, back[own]), np.insert(b, at, final[own])
+    d = digests.view(np.uint64)
+    h = tv.mix(d[a])
+    rows, step = np.flatnonzero(b > a), 0
+    while len(rows):
+        step += 1
+        h[rows] = tv.mix(h[rows] * U(0x9FB21C651E98DF25) + d[a[rows] + step])
+        rows = rows[b[rows] > a[rows] + step]
     return starts[a], ends[b], h.view(np.int64), np.searchsorted(a, bounds)
 
 
-def text_hashes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return tv.span_hashes(buf, offs[:-1], offs[1:], lower=False).view(np.int64)
+SPOTS = "doc_id long, text_hash long, at int, size int, digest long, source long, late boolean"
+
+
+def text_hash() -> Column:
+    """A text's identity among those that share its id, or have none."""
+    return F.xxhash64("text")
+
+
+def _merged(key: np.ndarray, at: np.ndarray, end: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First members and ends of the stretches that windows of one text and source cover without a gap; sorted by (key, source, at)."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (source[1:] != source[:-1])
+    # the furthest end so far, within a text and source
+    group = np.cumsum(new) - 1
+    reach = np.maximum.accumulate(end + group * (1 << 33)) - group * (1 << 33)
+    new[1:] |= at[1:] > reach[:-1]
+    lead = np.flatnonzero(new)
+    return lead, reach[np.append(lead[1:], len(key)) - 1]
 
 
 def _occurrences(mean_words: int, least_bytes: int):
-    """Rows (doc_id, text_hash, spot, digest, source) of all windows; spot: place, size (24 bits) and whether it is late (1 bit).
+    """Rows SPOTS of all windows that are their digest's first in a slice, and of the stretches of the others, which are late.
 
-    A late row repeats an earlier one of its slice, whose id is its source; it has a digest of its own, as
-    it needs no judgement.
+    A late row repeats an earlier one of its slice, whose id is its source; it needs no judgement, so its
+    digest only spreads it.
     """
-    schema = "doc_id long, text_hash long, spot long, digest long, source long"
+    names = [c.split()[0] for c in SPOTS.split(", ")]
 
     def rows(ids, null, th, at, size, digest, source=None, source_null=None) -> Iterator[pa.RecordBatch]:
         late = source is not None
-        spot = at * (1 << 25) + (size - 1) * 2 + late
-        if late:
-            digest = tv.mix(th.view(np.uint64) + at.astype(np.uint64)).view(np.int64)
         for i in range(0, len(ids), 1 << 16):
             s = slice(i, i + (1 << 16))
             own = pa.array(source[s], mask=source_null[s]) if late else pa.nulls(len(ids[s]), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[s], mask=null[s]), pa.array(th[s]), pa.array(spot[s]), pa.array(digest[s]), own], names=["doc_id", "text_hash", "spot", "digest", "source"])
+            columns = [pa.array(ids[s], mask=null[s]), pa.array(th[s]), pa.array(at[s].astype(np.int32)), pa.array(size[s].astype(np.int32)), pa.array(digest[s]), own, pa.array(np.full(len(ids[s]), late))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh: list[tuple[np.ndarray, ...]] = []
@@ -144,18 +167,29 @@ def _occurrences(mean_words: int, least_bytes: int):
             new[1:] = digest[1:] != digest[:-1]
             # the same row twice is one text: its windows don't repeat each other
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            late = ~new & ~((ids == ids[lead]) & (null == null[lead]) & (th == th[lead]) & (at == at[lead]))
-            yield from rows(ids[late], null[late], th[late], at[late], size[late], digest[late], ids[lead[late]], null[lead[late]])
+            late = np.flatnonzero(~new & ~((ids == ids[lead]) & (null == null[lead]) & (th == th[lead]) & (at == at[lead])))
+            lead = lead[late]
+            order = np.lexsort((at[late], null[lead], ids[lead], th[late], ids[late], null[late]))
+            late, lead = late[order], lead[order]
+            if len(late):
+                other = lambda x: np.concatenate([[False], x[1:] != x[:-1]])
+                text = np.cumsum(other(null[late]) | other(ids[late]) | other(th[late]))
+                source = np.cumsum(other(null[lead]) | other(ids[lead]))
+                first, end = _merged(text, at[late], at[late] + size[late], source)
+                late, lead = late[first], lead[first]
+                spread = tv.mix(th[late].view(np.uint64) + at[late].astype(np.uint64)).view(np.int64)
+                yield from rows(ids[late], null[late], th[late], at[late], end - at[late], spread, ids[lead], null[lead])
             yield from rows(ids[new], null[new], th[new], at[new], size[new], digest[new])
 
         for rb in batches:
             doc = rb.column("doc_id")
             null_id = doc.is_null().to_numpy(zero_copy_only=False)
             doc = doc.fill_null(0).to_numpy()
+            hashes = rb.column("text_hash").to_numpy()
             for lo, hi, buf, offs in tv.passes(rb.column("text")):
                 starts, ends, digest, bounds = windows(*chunks(buf, offs, mean_words), least_bytes)
                 n = np.diff(bounds)
-                fresh.append((digest, np.repeat(doc[lo:hi], n), np.repeat(null_id[lo:hi], n), np.repeat(text_hashes(buf, offs), n), starts - np.repeat(offs[:-1], n), ends - starts))
+                fresh.append((digest, np.repeat(doc[lo:hi], n), np.repeat(null_id[lo:hi], n), np.repeat(hashes[lo:hi], n), starts - np.repeat(offs[:-1], n), ends - starts))
                 held += len(digest)
                 if held > SLICE:
                     yield from close()
@@ -163,28 +197,22 @@ def _occurrences(mean_words: int, least_bytes: int):
         if fresh:
             yield from close()
 
-    return run, schema
+    return run
 
 
 def repeats(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(doc_id, text_hash, at, size, source) of every window that isn't its digest's first occurrence; source: the id of a row with an earlier one.
+    """(doc_id, text_hash, at, size, source) of every stretch that isn't its digests' first occurrence; source: the id of a row with an earlier one.
 
     One shuffle by digest; the window looks at a row and at the first one of its digest only.
     """
-    run, schema = _occurrences(mean_words, least_bytes)
-    found = docs.select("doc_id", "text").mapInArrow(run, schema)
-    late = F.col("spot") % 2 == 1
-    order = Window.partitionBy("digest").orderBy(late, F.col("doc_id").isNull(), "doc_id", "text_hash", "spot")
-    first = F.first(F.struct("doc_id", "text_hash", "spot")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(_occurrences(mean_words, least_bytes), SPOTS)
+    order = Window.partitionBy("digest").orderBy("late", F.col("doc_id").isNull(), "doc_id", "text_hash", "at")
+    first = F.first(F.struct("doc_id", "text_hash", "at")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     judged = found.withColumn("first", first).withColumn("nth", F.row_number().over(order))
     # two identical rows in two slices are one text
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("spot") == F.col("first.spot"))
-    return judged.filter(late | ((F.col("nth") > 1) & ~same)).select(
-        "doc_id",
-        "text_hash",
-        F.shiftright("spot", 25).cast("int").alias("at"),
-        (F.shiftright("spot", 1) % (1 << 24) + 1).cast("int").alias("size"),
-        F.when(late, F.col("source")).otherwise(F.col("first.doc_id")).alias("source"),
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("at") == F.col("first.at"))
+    return judged.filter(F.col("late") | ((F.col("nth") > 1) & ~same)).select(
+        "doc_id", "text_hash", "at", "size", F.when(F.col("late"), F.col("source")).otherwise(F.col("first.doc_id")).alias("source")
     )
 
 
@@ -237,32 +265,25 @@ def cut_texts(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int =
     """
     order = docs.columns
     gone = runs(docs, mean_words, least_bytes).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    # several texts may share an id: each finds its own spans by its hash
-    by_id = gone.groupBy("__id").agg(F.collect_list(F.struct(F.col("__hash").alias("hash"), F.col("__spans").alias("spans"))).alias("__cuts"))
-    joined = docs.join(by_id, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    # several texts may share an id, or have none: each finds its own spans by its hash
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__hash")), "left")
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             at = rb.schema.get_field_index("text")
-            cuts = rb.column("__cuts")
+            spans = rb.column("__spans")
             new = rb.column(at)
-            if cuts.null_count < len(cuts):
+            if spans.null_count < len(spans):
                 values = new.to_pylist()
-                for i, own in enumerate(cuts.to_pylist()):
-                    if own is None or values[i] is None:
-                        continue
+                for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
                     raw = values[i].encode()
-                    h = int(text_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]) if raw else None
-                    for c in own:
-                        if c["hash"] == h:
-                            out, last = [], 0
-                            for s in c["spans"]:
-                                out.append(raw[last : s["start"]])
-                                last = s["end"]
-                            values[i] = b"".join([*out, raw[last:]]).decode("utf-8", "replace")
-                            break
+                    out, last = [], 0
+                    for s in spans[i].as_py():
+                        out.append(raw[last : s["start"]])
+                        last = s["end"]
+                    values[i] = b"".join([*out, raw[last:]]).decode("utf-8", "replace")
                 new = pa.array(values, new.type)
-            columns = [new if i == at else rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] != "__cuts"]
+            columns = [new if i == at else rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] != "__spans"]
             yield pa.RecordBatch.from_arrays(columns, names=order)
 
-    return joined.select(*order, "__cuts").mapInArrow(trim, docs.schema)
+    return joined.select(*order, "__spans").mapInArrow(trim, docs.schema)

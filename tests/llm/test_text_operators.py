@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kestrelbase.llm import decontaminate, packing, quality, rules, substring, tokencount, toxicity
@@ -188,43 +189,76 @@ def test_leaks_of_an_only_copy_with_many_changed_words(spark, make):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and len(want) == 20
 
 
-def chunk_reference(rows):
-    """Repeats by the definition: every later occurrence of a chunk, in order of id, text hash and place."""
-    seen, out = {}, {}
-    texts = sorted({(i is None, i or 0, int(substring.text_hashes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0]), t or "") for i, t in rows})
-    for none, i, h, t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        starts, ends, _, _ = substring.chunks(raw, np.array([0, len(raw)]))
-        runs = []
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            piece = raw[a:b].tobytes()
-            if piece in seen:
-                if runs and runs[-1][1] == a:
-                    runs[-1][1] = b
-                else:
-                    runs.append([a, b])
-            seen.setdefault(piece, (none, i, h, a))
-        runs = [tuple(r) for r in runs if r[1] - r[0] >= substring.LEAST_BYTES]
-        if runs:
-            out[None if none else i, h] = runs
+def window_reference(docs):
+    """Repeats by the definition: every later occurrence of a window of chunks, in order of id, text hash and place; their union by text."""
+    seen, out = set(), {}
+    rows = {tuple(r) for r in docs.select("doc_id", F.xxhash64("text"), F.coalesce("text", F.lit(""))).collect()}
+    for i, h, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        raw = t.encode()
+        starts, ends, _, _ = substring.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        pieces, found = [raw[a:b] for a, b in zip(starts, ends, strict=True)], set()
+        for x in range(len(pieces)):
+            y = next((y for y in range(x, len(pieces)) if ends[y] - starts[x] >= substring.LEAST_BYTES), None)
+            found |= {(x, y)} if y is not None else set()
+        z = next((z for z in range(len(pieces) - 1, -1, -1) if len(raw) - starts[z] >= substring.LEAST_BYTES), None)
+        found |= {(z, len(pieces) - 1)} if z is not None else set()
+        gone = set()
+        for x, y in sorted(found):
+            key = tuple(pieces[x : y + 1])
+            if key in seen:
+                gone |= set(range(starts[x], ends[y]))
+            seen.add(key)
+        if gone:
+            edge = sorted(gone)
+            first = [k for k in edge if k - 1 not in gone]
+            out[i, h] = list(zip(first, [k + 1 for k in edge if k + 1 not in gone], strict=True))
     return out
 
 
+def spans_of(docs):
+    return {(r["doc_id"], r["text_hash"]): [(s["start"], s["end"]) for s in r["spans"]] for r in substring.runs(docs).collect()}
+
+
 def test_substrings_against_the_definition(make, odd_rows):
     rnd = random.Random(13)
     passage = prose(rnd, 70, 5000)
-    rows = odd_rows + [(100 + i, prose(rnd, rnd.randrange(5, 60), 5000) + " " + passage + " " + prose(rnd, 20, 5000)) for i in range(20)] + [(200, "漢字" * 4000)]
-    want = chunk_reference(rows)
-    got = {(r["doc_id"], r["text_hash"]): [(s["start"], s["end"]) for s in r["spans"]] for r in substring.runs(make(rows)).collect()}
-    assert got == want and {k[0] for k in got} >= set(range(101, 120)) and 100 not in {k[0] for k in got}
-    cut = {r["doc_id"]: r["text"] for r in substring.cut_texts(make(rows)).collect()}
+    rows = odd_rows + [(100 + i, prose(rnd, rnd.randrange(5, 60), 5000) + " " + passage + " " + prose(rnd, 20, 5000)) for i in range(20)] + [(200, "漢字" * 4000), (None, "other " + passage), (None, passage)]
+    want = window_reference(make(rows))
+    assert spans_of(make(rows)) == want and {k[0] for k in want} >= set(range(101, 120)) and 100 not in {k[0] for k in want}
+    cut = {r["doc_id"]: r["text"] for r in substring.cut_texts(make(rows)).collect() if r["doc_id"] is not None}
     assert cut[100].count(passage) == 1 and all(len(cut[i]) < len(dict(rows)[i]) - 200 for i in range(101, 120))
+    nameless = sorted(r["text"] or "" for r in substring.cut_texts(make(rows)).collect() if r["doc_id"] is None)
+    assert len(nameless) == 4 and passage not in nameless and all(passage not in t for t in nameless)
     assert cut[1] is None and substring.cut_texts(make(rows)).columns == make(rows).columns
-    assert substring.cut_texts(make(rows)).count() == len(rows) and substring.report(make([])).count() == 0
+    assert substring.cut_texts(make(rows)).count() == len(rows) and substring.report(make([])).count() == 0 and substring.cut_texts(make([])).count() == 0
     report = {r["doc_id"]: r for r in substring.report(make(rows)).collect()}
     assert all(set(report[i]["sources"]) & set(range(100, 120)) for i in range(101, 120))
 
 
+SOLID = ["x" * 5000, "x" * 5000 + " ", "=" * 700 + "\n", "ab" * 900 + "\t end", "word " + "漢字" * 900, "漢字" * 900 + "\u3000\n", "-" * 129, "-" * 128, "-" * 513, "_" * 30_000 + " _", "\n" * 3000, " " * 2000 + "z"]
+
+
+@pytest.mark.parametrize("size", [1 << 19, 6000, 1])
+def test_long_runs_without_white_space_are_cut_by_their_own_text_alone(make, monkeypatch, size):
+    from kestrelbase.llm import textvec as tv
+
+    for around in ([], ["tiny words here "], ["a b "] * 50):
+        texts = [*around, *SOLID, *around, *SOLID[::-1], *around]
+        for _, _, buf, offs in tv.passes(__import__("pyarrow").array(texts), size):
+            starts, ends, digests, bounds = substring.chunks(buf, offs)
+            assert np.all(ends - starts <= substring.LONGEST) and np.array_equal(starts[1:], ends[:-1])
+            for t in range(len(offs) - 1):
+                own = buf[offs[t] : offs[t + 1]]
+                alone = substring.chunks(own, np.array([0, len(own)]))
+                assert (ends[bounds[t] : bounds[t + 1]] - offs[t]).tolist() == alone[1].tolist() and digests[bounds[t] : bounds[t + 1]].tolist() == alone[2].tolist()
+    rows = [(i, t) for i, t in enumerate([*SOLID, "tiny words here ", *SOLID])]
+    got = spans_of(make(rows, 1))
+    assert got == spans_of(make(rows, 7)) == window_reference(make(rows))
+    left = {r["doc_id"]: r["text"] for r in substring.cut_texts(make(rows, 2)).collect()}
+    # the second copy of every text of a window or more is gone as a whole
+    assert all(left[len(SOLID) + 1 + i] == "" for i, t in enumerate(SOLID) if len(t.encode()) >= substring.LEAST_BYTES)
+
+
 def test_pieces_of_unrelated_texts_are_no_repeat(make):
     rnd = random.Random(22)
     cut = lambda t: [t[a:b] for a, b in zip(*(x.tolist() for x in substring.chunks(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[:2]), strict=True)]
@@ -233,8 +267,8 @@ def test_pieces_of_unrelated_texts_are_no_repeat(make):
     for _, t in rows:
         # one short chunk of each text, where it stays a chunk behind those before it
         fit = [c for c in cut(t)[1:-1] if len(c) < substring.LEAST_BYTES and cut("".join([*mixed, c, "end"]))[:-1] == [*mixed, c]]
-        mixed += fit[:1] if len(mixed) < 12 else []
-    assert len(mixed) == 12 and len("".join(mixed)) > 3 * substring.LEAST_BYTES
+        mixed += fit[:1] if len(mixed) < 32 else []
+    assert len(mixed) == 32 and len("".join(mixed)) > 3 * substring.LEAST_BYTES
     later = {500: "".join([*mixed, "end"]), 501: " ".join([prose(rnd, 20, 5000), rows[150][1], prose(rnd, 20, 5000)])}
     got = {r["doc_id"]: [later[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in substring.report(make(rows + list(later.items()))).collect()}
     assert set(got) == {501} and all(x in rows[150][1] for x in got[501]) and len("".join(got[501])) > 150
