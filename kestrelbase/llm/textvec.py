@@ -15,10 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 1 << 64)
 #: Bytes of text that one numpy pass sees; a longer single text is one pass of its own.
 PASS_BYTES = 1 << 19
 
@@ -27,23 +26,12 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: ASCII letters and digits, and every byte of a non-ASCII code point.
 PLAIN = np.ones(256, bool)
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = False
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = 1 << int(n - 1).bit_length()
-        for base, name in ((_P, "_pow"), (_PINV, "_inv")):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
-    return _pow[:n], _inv[:n]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bits of the first k bytes of a block of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,17 +99,33 @@ def spans_of(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they lie."""
-    n = len(buf)
-    up, down = _powers(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * up[:n], out=sums[1:])
-    h = sums[ends]
-    h -= sums[starts]
-    h *= down[starts]
-    h ^= (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93)
-    return mix(h)
+    """64-bit hashes of byte spans, equal for equal bytes wherever they lie.
+
+    Blocks of eight bytes are chained through ``mix``, so spans of one length of up to eight bytes never
+    share a hash, and no texts are known that do; spans over LONG_SPAN go through xxh3.
+    """
+    left = ends - starts
+    h = mix(left.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(0x8CB92BA72F3D8DD7))
+    if not len(h):
+        return h
+    if lower:
+        buf = LOWER[buf]
+    blocks = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
+    long = np.flatnonzero(left > LONG_SPAN)
+    rows = np.arange(len(h)) if not len(long) else np.flatnonzero(left <= LONG_SPAN)
+    rows = rows[left[rows] > 0]
+    at = starts[rows]
+    left = left[rows]
+    while len(rows):
+        block = blocks[at].view(np.uint64).ravel()
+        block &= _FIRST[np.minimum(left, 8)]
+        h[rows] = mix((h[rows] ^ block) * U(0x9FB21C651E98DF25))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        h[long] = mix(np.array([xxhash.xxh3_64_intdigest(raw[a:b], 97) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], np.uint64))
+    return h
 
 
 def words(buf: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
