@@ -111,7 +111,7 @@ _tables: dict[str, Lengths] = {}
 
 def _worker_table(path: str) -> Lengths:
     if path not in _tables:
-        _tables[path] = Lengths(np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        _tables[path] = Lengths([], np.zeros(0, np.int32))
     return _tables[path]
 
 

@@ -2,10 +2,13 @@
 
 A byte-level BPE never merges across pre-tokens, so a text's count is the sum of its
 pre-tokens' lengths.  Pre-tokens are cut on the byte buffer with numpy.  Tier one is a
-compact broadcast table (64-bit hash -> length) of the corpus' most frequent pre-tokens;
-tier two is each worker's own table, which starts as a copy of it and learns what it
-missed by asking the tokenizer.  No pre-token is ever shuffled: finding the frequent
-ones ships only each task's own top list.
+compact broadcast table (bytes -> length) of frequent pre-tokens; tier two is each worker's own
+table, which starts as a copy of it and learns what it missed by asking the tokenizer.
+Keys are compared byte by byte, so no two pre-tokens are ever taken for one.  There is one pass over the
+texts, and no pre-token is shuffled.
+
+The frequent pre-tokens are those of a bounded sample of texts, read until there are enough.  Which texts
+these are decides how often the first passes of a worker ask the tokenizer, and never a count.
 
 A text in which the tokenizer would see an added token, or that holds a code point whose class
 the tables don't know for sure, is counted by the tokenizer itself.
@@ -16,7 +19,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -29,27 +32,30 @@ from kestrelbase.llm.common import map_texts, texts
 
 U = np.uint64
 LETTER, NUMBER, WHITE, OTHER, UNSURE = range(5)
-#: Frequent pre-tokens in the broadcast table; each task proposes as many as SUMMARY of its own.
-FREQUENT, SUMMARY = 1 << 16, 1 << 14
-#: Slots of a worker's table: 9 bytes each.
-SLOTS = 1 << 21
+#: Frequent pre-tokens in the broadcast table, and the sample they are counted in: texts, and bytes of the longest of them.
+FREQUENT, SAMPLE_TEXTS, SAMPLE_BYTES = 1 << 16, 1024, 1 << 15
+#: Slots of a worker's table, of 17 bytes each; bytes of a pre-token that has a place there.
+SLOTS, KEY_BYTES = 1 << 21, 16
+#: Longer pre-tokens that a worker remembers, and the bytes of the longest such.
+RARE, RARE_BYTES = 1 << 14, 256
 #: White space to the pattern's \s.
 _WHITE = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 
 
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """The class of every code point."""
-    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))
-        if kind == "Cn":  # another version of Unicode may know it
-            out[c] = UNSURE
-        elif kind[0] in kinds:
-            out[c] = kinds[kind[0]]
-    out[list(_WHITE)] = WHITE
-    return out
+_classes = np.zeros(sys.maxunicode + 1, np.uint8)
+_known = np.zeros((sys.maxunicode + 1) >> 8, bool)
+
+
+def classes(codes: np.ndarray) -> np.ndarray:
+    """The class of every code point of ``codes``; the table is filled 256 code points at a time, as texts ask for them."""
+    for block in np.flatnonzero(np.bincount(codes >> 8, minlength=1)).tolist():
+        if not _known[block]:
+            for c in range(block << 8, (block + 1) << 8):
+                kind = unicodedata.category(chr(c))
+                # what this version of Unicode doesn't know another one may
+                _classes[c] = WHITE if c in _WHITE else UNSURE if kind == "Cn" else {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
+            _known[block] = True
+    return _classes[codes]
 
 
 @lru_cache(maxsize=4)
@@ -72,8 +78,7 @@ def added_tokens(path: str) -> tuple[bytes, ...]:
 
 def byte_classes(buf: np.ndarray) -> np.ndarray:
     """Each byte's class: that of the code point it belongs to."""
-    table = classes()
-    cls = table[:256][buf]
+    cls = classes(np.arange(256))[buf]
     lead = np.flatnonzero(buf >= 0xC0)
     if len(lead):
         n = np.where(buf[lead] >= 0xF0, 4, np.where(buf[lead] >= 0xE0, 3, 2))
@@ -81,7 +86,7 @@ def byte_classes(buf: np.ndarray) -> np.ndarray:
         for i in range(1, 4):
             has = n > i
             cp[has] = (cp[has] << 6) | (buf[lead[has] + i] & 0x3F)
-        of = table[np.minimum(cp, sys.maxunicode)]
+        of = classes(np.minimum(cp, sys.maxunicode))
         for i in range(4):
             has = n > i
             cls[lead[has] + i] = of[has]
@@ -130,8 +135,8 @@ def pre_tokens(buf: np.ndarray, offs: np.ndarray, cls: np.ndarray) -> np.ndarray
     return np.flatnonzero(start)
 
 
-def cut(buf: np.ndarray, offs: np.ndarray, added: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, bounds by text, texts to leave to the tokenizer)."""
+def cut(buf: np.ndarray, offs: np.ndarray, added: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, bounds by text, texts to leave to the tokenizer)."""
     cls = byte_classes(buf)
     odd = tv.per_text(cls == UNSURE, offs) > 0
     if added and len(buf):
@@ -144,97 +149,96 @@ def cut(buf: np.ndarray, offs: np.ndarray, added: tuple[bytes, ...]) -> tuple[np
                 at = raw.find(token, int(offs[t + 1]))
     starts = pre_tokens(buf, offs, cls)
     ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-    return starts, ends, tv.span_hashes(buf, starts, ends, lower=False), np.searchsorted(starts, offs), odd
+    return starts, ends, np.searchsorted(starts, offs), odd
 
 
-class Lengths:
-    """A direct-mapped table of pre-token lengths: a slot holds the hash that came last."""
+def keys_of(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(spans, 2) words of the first KEY_BYTES bytes of spans, zero behind their ends."""
+    blocks = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(KEY_BYTES, np.uint8)]), KEY_BYTES)
+    keys = blocks[starts].view(np.uint64)
+    keys[:, 0] &= _FIRST[np.minimum(sizes, 8)]
+    keys[:, 1] &= _FIRST[np.clip(sizes - 8, 0, 8)]
+    return keys
 
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, slots: int = SLOTS) -> None:
-        self.mask = U(slots - 1)
-        self.keys = np.zeros(slots, np.uint64)
-        self.values = np.zeros(slots, np.int32)
-        self.learn(hashes, lengths)
 
-    def learn(self, hashes: np.ndarray, lengths: np.ndarray) -> None:
-        at = (hashes & self.mask).astype(np.int64)
-        self.keys[at] = hashes
-        self.values[at] = lengths
-        # of two that share a slot numpy may keep the key of one and the length of the other
-        wrong = self.values[at[self.keys[at] == hashes]] != lengths[self.keys[at] == hashes]
-        if wrong.any():
-            self.keys[at[self.keys[at] == hashes][wrong]] = 0
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = (hashes & self.mask).astype(np.int64)
-        return self.values[at], self.keys[at] == hashes
+
+class Lengths:
+    """Pre-token lengths: a direct-mapped table of short pre-tokens, whose slots hold what came last, and a dict of longer ones."""
+
+    def __init__(self, words: list[bytes], lengths: np.ndarray, slots: int = SLOTS) -> None:
+        self.mask = U(slots - 1)
+        self.keys = np.zeros((slots, 2), np.uint64)
+        # bytes and tokens of the pre-token, each from 1 to KEY_BYTES; an empty slot says that the byte 0 is one token, which is so
+        self.codes = np.zeros(slots, np.uint8)
+        self.rare: dict[bytes, int] = {}
+        self.learn(words, lengths)
+
+    def _slots(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return (tv.mix(keys[:, 0] ^ tv.mix(keys[:, 1] + sizes.astype(np.uint64))) & self.mask).astype(np.int64)
+
+    def learn(self, words: list[bytes], lengths: np.ndarray) -> None:
+        size = np.array([len(w) for w in words], np.int64)
+        for i in np.flatnonzero((size > KEY_BYTES) & (size <= RARE_BYTES)).tolist():
+            if len(self.rare) >= RARE:
+                self.rare.clear()
+            self.rare[words[i]] = int(lengths[i])
+        short = np.flatnonzero(size <= KEY_BYTES)
+        if not len(short):
+            return
+        raw = np.frombuffer(b"".join(words[i].ljust(KEY_BYTES, b"\0") for i in short.tolist()), np.uint64).reshape(-1, 2)
+        at, pick = np.unique(self._slots(raw, size[short]), return_index=True)
+        self.keys[at], self.codes[at] = raw[pick], (size[short][pick] - 1) * 16 + np.asarray(lengths)[short][pick] - 1
+
+    def find(self, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, whether known) of spans, by the table."""
+        keys = keys_of(buf, starts, sizes)
+        at = self._slots(keys, sizes)
+        own, codes = self.keys[at], self.codes[at].astype(np.int32)
+        return (codes & 15) + 1, ((codes >> 4) + 1 == sizes) & (own[:, 0] == keys[:, 0]) & (own[:, 1] == keys[:, 1])
 
 
 _own: dict[str, Lengths] = {}
 
 
-def _encode(path: str, words: list[str]) -> np.ndarray:
+def _encode(path: str, words: list[bytes]) -> np.ndarray:
     t = tokenizer(path)
     many = getattr(t, "encode_batch_fast", t.encode_batch)
-    return np.array([len(e.ids) for e in many(words, add_special_tokens=False)], np.int32)
+    return np.array([len(e) for e in many([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)], np.int32)
 
 
 def count_pass(buf: np.ndarray, offs: np.ndarray, path: str, table: Lengths) -> np.ndarray:
     """Token counts of the texts of a pass."""
-    starts, ends, h, bounds, odd = cut(buf, offs, added_tokens(path))
-    lengths, hit = table.find(h)
+    starts, ends, bounds, odd = cut(buf, offs, added_tokens(path))
+    sizes = ends - starts
+    lengths, hit = table.find(buf, starts, sizes) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, bool))
     miss = np.flatnonzero(~hit)
     if len(miss):
-        new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
         raw = buf.tobytes()
-        spans = miss[first]
-        known = _encode(path, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
-        lengths[miss] = known[back]
-        table.learn(new, known)
+        words = [raw[a:b] for a, b in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)]
+        known = {w: table.rare[w] for w in set(words) if w in table.rare}
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        got = _encode(path, new)
+        known.update(zip(new, got.tolist(), strict=True))
+        lengths[miss] = [known[w] for w in words]
+        table.learn(new, got)
     counts = tv.per_text(lengths, bounds)
     for t in np.flatnonzero(odd).tolist():
-        counts[t] = _encode(path, [buf[offs[t] : offs[t + 1]].tobytes().decode("utf-8", "replace")])[0]
+        counts[t] = _encode(path, [buf[offs[t] : offs[t + 1]].tobytes()])[0]
     return counts
 
 
-def frequent_lengths(docs: DataFrame, path: str, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lengths of the corpus' most frequent pre-tokens, from every task's own top list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.zeros(0, np.uint64)
-        counts = np.zeros(0, np.int64)
-        names: dict[int, bytes] = {}
-        for rb in batches:
-            for _, _, buf, offs in tv.passes(rb.column("text")):
-                starts, ends, h, _, _ = cut(buf, offs, ())
-                new, first, n = np.unique(h, return_index=True, return_counts=True)
-                raw = buf.tobytes()
-                # within a pass only what repeats can be frequent
-                often = n > 1
-                for k, s in zip(new[often].tolist(), first[often].tolist(), strict=True):
-                    if k not in names:
-                        names[k] = raw[starts[s] : ends[s]]
-                keys, back = np.unique(np.concatenate([keys, new[often]]), return_inverse=True)
-                counts = np.bincount(back, weights=np.concatenate([counts, n[often]]), minlength=len(keys)).astype(np.int64)
-                if len(keys) > 4 * SUMMARY:
-                    top = np.sort(np.argpartition(counts, -SUMMARY)[-SUMMARY:])
-                    keys, counts = keys[top], counts[top]
-                    kept = set(keys.tolist())
-                    names = {k: v for k, v in names.items() if k in kept}
-        if len(keys) > SUMMARY:
-            top = np.argpartition(counts, -SUMMARY)[-SUMMARY:]
-            keys, counts = keys[top], counts[top]
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keys.tolist()], pa.binary()), pa.array(counts)], names=["word", "n"])
-
-    top = texts(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    # a pre-token longer than this isn't worth a place in a broadcast
-    words = [bytes(r[0]) for r in top.collect() if len(r[0]) <= 256]
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    offs = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=offs[1:])
-    h = tv.span_hashes(np.frombuffer(b"".join(words), np.uint8), offs[:-1], offs[1:], lower=False)
-    return h, _encode(path, [w.decode("utf-8", "replace") for w in words])
+def frequent_lengths(docs: DataFrame, path: str, most: int = FREQUENT, sample: int = SAMPLE_TEXTS, longest: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent pre-tokens of at most ``sample`` texts of at most ``longest`` bytes, and their lengths."""
+    found = docs.select("text").filter(F.octet_length("text") <= longest).take(sample)
+    seen: Counter[bytes] = Counter()
+    for _, _, buf, offs in tv.passes(pa.array([r[0] for r in found], pa.string())):
+        starts, ends, _, _ = cut(buf, offs, ())
+        raw = buf.tobytes()
+        seen.update(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a <= KEY_BYTES)
+    words = [w for w, n in seen.most_common(most) if n > 1]
+    return words, _encode(path, words)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -242,8 +246,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     Counts are those of the tokenizer file at ``path`` for the whole text, without begin,
     end or added special tokens; strings of special tokens inside a text count as the
-    library counts them by default.  A null or empty text has 0 bytes and 0 tokens.  Null
-    and repeated ids are rows like others; an empty table gives no rows.
+    library counts them by default.  A null or empty text has 0 bytes and 0 tokens.  A very long text is
+    cut as a whole in a pass of its own.  Null and repeated ids are rows like others; columns
+    besides doc_id and text are ignored, whatever their names; nothing depends on the order of ties; an empty table gives no rows.
     """
     added_tokens(path)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
