@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets a temporary folder; a cluster is refused,
-    as a machine-local folder would lose data with its executor.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="kestrelbase-")
-    return _own_dirs[app]
-
+from kestrelbase.sources.shared import shared_dir
 
 def keep(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` into the shared folder and return the written table.
@@ -48,6 +30,30 @@ def keep(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with the rank from 0 of every row within ``group`` by ``order``; of rows that tie either may come first.
+
+    One sort of the whole by ranges, so neither a group nor rows that tie are ever a single task's.  A row's
+    place in its range is then moved by how many of its group lie in earlier ranges: a table of as many rows as
+    there are ranges and groups.
+    """
+    placed = keep(
+        df.withColumn("__row", F.monotonically_increasing_id())
+        .repartitionByRange(group, *order, "__row")
+        .sortWithinPartitions(group, *order, "__row")
+        .drop("__row")
+        .withColumn("__at", F.monotonically_increasing_id())
+    ).withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    earlier = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = (
+        placed.groupBy(group, "__range")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
+        .select(F.col(group).alias("__group"), F.col("__range").alias("__in"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("__moved"))
+    )
+    joined = placed.join(F.broadcast(moved), (F.col(group) == F.col("__group")) & (F.col("__range") == F.col("__in")))
+    return joined.select(*df.columns, (F.col("__at") + F.col("__moved")).alias(name))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator works on, so that others can't clash with its own."""
     return docs.select("doc_id", "text", *more)

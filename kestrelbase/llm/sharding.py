@@ -19,9 +19,8 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from kestrelbase.llm.common import keep
+from kestrelbase.llm.common import keep, ranked
 
 FIRST, MORE = 3, 2
 
@@ -96,16 +95,17 @@ def cut_keys(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         segments = sorted([s for s in segments if s[0] not in wanted] + finer)
 
 
-def shard(docs: DataFrame, shards: int = 16, rows_per_bucket: int = 250_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     The law is ``bytes``: shard sizes are as equal as whole groups of equal texts permit.
     A null text counts as the empty one: size 1, crc 0, one group.  Null and repeated ids
-    are rows like others.  An empty table gives no rows.  Slots number the rows of a
-    shard from 0 without gaps: rows are counted by (shard, hash of the id), so one group of copies
-    that holds a third of all rows spreads over all buckets.
+    are rows like others; a very long text is one group of its size, be it larger than an even share.
+    Columns besides doc_id and text are ignored, whatever their names.  An empty table gives no rows.
+    Slots number the rows of a shard from 0 without gaps by doc_id (null first), then by the text's digest; rows that tie
+    in both are alike in all that is returned.
     """
-    spark, text = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit(""))
     base = keep(
         docs.select(
             "doc_id",
@@ -114,23 +114,10 @@ def shard(docs: DataFrame, shards: int = 16, rows_per_bucket: int = 250_000) ->
             F.md5(text.cast("binary")).alias("key"),
         )
     )
-    groups = keep(base.groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    groups = keep(base.groupBy("key").agg(F.sum("size").alias("size")))
     _, firsts = cut_keys(groups, shards)
-    rows = groups.agg(F.sum("n")).first()[0] or 0
-    buckets = int(min(65536, max(1, rows // (shards * rows_per_bucket))))
     at = F.lit(0)
     for k in firsts:
         at = at + (F.col("key") >= F.lit(k)).cast("int")
-    placed = base.select("doc_id", "size", "text_crc32", "key", at.alias("shard"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int").alias("bucket"))
-    before = (
-        placed.groupBy("shard", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("shard", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    )
-    number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "key"))
-    return (
-        placed.withColumn("nth", number)
-        .join(before, ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
+    placed = ranked(base.select("doc_id", "size", "text_crc32", "key", at.alias("shard")), "shard", ["doc_id", "key"], "slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

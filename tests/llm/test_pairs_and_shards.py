@@ -138,7 +138,7 @@ def test_shards_against_a_direct_partition(make):
 
 
 def test_shards_of_odd_rows(make, odd_rows):
-    got = sharding.shard(make(odd_rows), 16, rows_per_bucket=1).collect()
+    got = sharding.shard(make(odd_rows), 16).collect()
     assert len(got) == len(odd_rows)
     for s in {r["shard"] for r in got}:
         slots = sorted(r["slot"] for r in got if r["shard"] == s)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -60,6 +61,27 @@ def test_connected_components(spark):
     assert common.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_ranks_are_the_same_in_any_number_of_ranges(spark, ranges):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(3), rnd.choice([None, 5, rnd.randrange(50)]), "x") for _ in range(400)]
+    rows += [(1, None, "same")] * 200
+    want, seen = [], {}
+    for g, i, t in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+        want.append((g, i, t, seen.setdefault(g, 0)))
+        seen[g] += 1
+    df = spark.createDataFrame(rows, "g int, i long, t string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = common.ranked(df, "g", ["i", "t"], "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert common.ranked(df.limit(0), "g", ["i"], "n").count() == 0
+
+
 def test_ids_are_dropped_either_way(make, spark, monkeypatch):
     docs, gone = make([(i, "t") for i in (1, 2, 3, None)]), spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
     for most in (10, 0):
