@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from kestrelbase.llm import textvec as tv
-from kestrelbase.llm.common import keep, map_texts
+from kestrelbase.llm.common import keep, map_texts, ranked
 from kestrelbase.llm.tokencount import Lengths, count_pass
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -115,11 +114,14 @@ def _worker_table(path: str) -> Lengths:
     return _tables[path]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacities: tuple[int, ...] = CAPACITIES, rows_per_bucket: int = 250_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, bin_id, bin_offset, bin_capacity: one row for every piece of every row of ``docs``.
 
     n_tokens counts an end-of-text token after each text's last one, so a null or empty text
-    is a piece of one token.  Null and repeated ids are packed like others; an empty table gives no rows.
+    is a piece of one token; a text longer than the longest sequence is several pieces.  Null and repeated ids are packed like
+    others; columns besides doc_id and text are ignored, whatever their names; an empty table gives no rows.
+    Pieces of one length take their places by doc_id (null first), then piece; those that tie in both are alike but for
+    their places.
     """
     longest = max(capacities)
     lengths = token_lengths(docs, tokenizer_path)
@@ -137,17 +139,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacities: tuple[int, ...] = CAP
     ends = np.array(final, np.int64)
     sizes = np.array(sorted(capacities))
     shared = docs.sparkSession.sparkContext.broadcast((where, ends[:, 0], sizes[np.searchsorted(sizes, ends[:, 2])]))
-    # ranks within a length: counted by bucket, so that a length that a third of all pieces have spreads out
-    buckets = int(min(4096, max(1, max(histogram.values()) // rows_per_bucket)))
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    before = (
-        spread.groupBy("n_tokens", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.sum("n").over(Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("n_tokens", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    )
-    nth = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece"))
-    ranked = spread.withColumn("nth", nth).join(before, ["n_tokens", "bucket"]).select("doc_id", "piece", "first_token", "n_tokens", (F.col("before") + F.col("nth") - 1).cast("long").alias("rank"))
+    numbered = ranked(pieces, "n_tokens", ["doc_id", "piece"], "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, firsts, capacity = shared.value
@@ -164,4 +156,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacities: tuple[int, ...] = CAP
                 names=["doc_id", "piece", "first_token", "n_tokens", "bin_id", "bin_offset", "bin_capacity"],
             )
 
-    return ranked.mapInArrow(place, schema)
+    return numbered.mapInArrow(place, schema)

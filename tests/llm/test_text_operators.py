@@ -321,7 +321,7 @@ def test_packing_by_ranges_costs_what_piece_by_piece_does():
 def test_packed_pieces_fill_bins_without_gaps(make, odd_rows, library):
     rnd = random.Random(16)
     rows = odd_rows + [(100 + i, prose(rnd, rnd.randrange(1, 400))) for i in range(200)] + [(None, "x y z")] * 3
-    got = packing.pack(make(rows), BPE, rows_per_bucket=1).collect()
+    got = packing.pack(make(rows), BPE).collect()
     want = sorted((str(i), n + 1) for (i, _), n in zip(rows, library([t for _, t in rows]), strict=True))
     assert sum(r["n_tokens"] for r in got) == sum(n for _, n in want)
     assert sorted((str(r["doc_id"])) for r in got if r["piece"] == 0) == [i for i, _ in want]
