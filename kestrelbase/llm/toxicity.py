@@ -3,8 +3,11 @@
 log odds = w0 + sum of w_i + sum over pairs of <v_i, v_j> over the distinct terms of a text: words, lower-cased
 in A-Z and stripped of ASCII punctuation at their ends, and the words' first characters.  The pair
 term is computed as half of (sum of v)^2 - sum of v^2, so it costs no more than the linear one.
-Terms that say nothing in training have no weight at all, so that a long text doesn't
-gather noise.
+
+Terms that say nothing in training have no weight at all, so that a long text doesn't gather noise.  A term says
+something where its own texts are toxic more or less often than all are, or where the texts that it shares with
+another word are toxic more or less often than the two words' own rates would have it: an insult together with
+a group, say, while either alone is harmless.  The evidence asked for is fixed; how many terms meet it is not.
 """
 
 from __future__ import annotations
@@ -19,18 +22,22 @@ from kestrelbase.llm.common import held_out, map_texts, texts, training_rows
 
 U = np.uint64
 BITS = 20
-#: Labelled texts that the model learns from, at most, and terms that may have a weight.
-TRAIN_ROWS, TERMS = 12000, 4096
+#: Labelled texts that the model learns from, at most.
+TRAIN_ROWS = 12000
+#: Log-likelihood ratios asked of a term that speaks for toxicity, of one that speaks against it, and of a pair of words.
+FOR, AGAINST, PAIR = 12.0, 20.0, 30.0
+#: The share of training texts that hold a word whose pairs are tested, at least, and words in a block of pairs.
+PAIR_SHARE, PAIR_BLOCK = 0.05, 256
 #: Lengths of the word beginnings that are terms besides the word.
 HEADS = (4, 5, 6)
 
 
-def terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def terms(buf: np.ndarray, offs: np.ndarray, heads: tuple[int, ...] = HEADS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct term slots of each text, sorted, and their bounds."""
     starts, ends = tv.spans_of(tv.PLAIN[buf], offs)
     wb = np.searchsorted(starts, offs)
     kinds = [tv.span_hashes(buf, starts, ends, lower=True)]
-    for n in HEADS:
+    for n in heads:
         stop = np.minimum(starts + n, ends)
         kinds.append(tv.mix(tv.span_hashes(buf, starts, stop, lower=True) + U(n)))
     slots = np.stack([(h >> U(64 - BITS)) for h in kinds], axis=1).ravel()
@@ -42,27 +49,76 @@ def terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slots[first].astype(np.int64), out
 
 
-def telling_terms(ids: np.ndarray, who: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Slots whose presence depends on the label: by signed log-likelihood ratio, the strongest ``most``."""
-    n1 = np.bincount(ids, weights=y[who], minlength=1 << BITS)
-    n = np.bincount(ids, minlength=1 << BITS).astype(float)
-    rate = max(y.mean(), 1e-6)
+def _ratio(n1: np.ndarray, n: np.ndarray, rate) -> np.ndarray:
+    """Twice the log-likelihood ratio of n1 of n being toxic against ``rate``."""
     n0 = n - n1
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(n1 > 0, n1 * np.log(n1 / (n * rate)), 0) + np.where(n0 > 0, n0 * np.log(n0 / (n * (1 - rate))), 0))
-    ok = np.flatnonzero((n >= 2) & (n1 > n * rate) & (g > 8.0))
-    return ok[np.argsort(-g[ok], kind="stable")[:most]]
+        return 2 * (np.where(n1 > 0, n1 * np.log(n1 / (n * rate)), 0) + np.where(n0 > 0, n0 * np.log(n0 / (n * (1 - rate))), 0))
+
+
+def telling_terms(ids: np.ndarray, who: np.ndarray, y: np.ndarray, words: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """Slots of terms whose presence depends on the label, either way, and of words that interact with another word.
+
+    ids and who: all terms of all texts, and the texts; words and holders: whole words alone.
+    """
+    n1 = np.bincount(ids, weights=y[who], minlength=1 << BITS)
+    n = np.bincount(ids, minlength=1 << BITS).astype(float)
+    rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    g = _ratio(n1, n, rate)
+    telling = (n >= 2) & np.where(n1 > n * rate, g > FOR, g > AGAINST)
+    telling[_pairs(words, holders, y, rate)] = True
+    return np.flatnonzero(telling)
+
+
+def _pairs(ids: np.ndarray, who: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
+    """Slots of words that occur in some pair whose texts are toxic more or less often than the two words' odds multiplied."""
+    texts = len(y)
+    n1 = np.bincount(ids, weights=y[who], minlength=1 << BITS)
+    n = np.bincount(ids, minlength=1 << BITS).astype(float)
+    common = np.flatnonzero((n >= max(5.0, PAIR_SHARE * texts)) & (n < texts))
+    if len(common) < 2:
+        return common[:0]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[common] = np.arange(len(common))
+    mine = place[ids] >= 0
+    col, row = place[ids[mine]], who[mine]
+    odds = np.log((n1[common] + rate) / (n[common] - n1[common] + 1 - rate))
+    base = np.log(rate / (1 - rate))
+    found = np.zeros(len(common), bool)
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    edge = np.searchsorted(col, np.arange(0, len(common) + PAIR_BLOCK, PAIR_BLOCK))
+
+    def block(k: int) -> np.ndarray:
+        x = np.zeros((texts, min(PAIR_BLOCK, len(common) - k * PAIR_BLOCK)), np.float32)
+        x[row[edge[k] : edge[k + 1]], col[edge[k] : edge[k + 1]] - k * PAIR_BLOCK] = 1
+        return x
+
+    toxic = y > 0
+    for i in range(len(edge) - 1):
+        left = block(i)
+        for j in range(i, len(edge) - 1):
+            right = left if i == j else block(j)
+            both, bad = left.T @ right, left[toxic].T @ right[toxic]
+            a, b = slice(i * PAIR_BLOCK, i * PAIR_BLOCK + both.shape[0]), slice(j * PAIR_BLOCK, j * PAIR_BLOCK + both.shape[1])
+            # words that always go together say no more than one of them
+            apart = both <= 0.9 * np.minimum(n[common[a]][:, None], n[common[b]][None])
+            want = 1 / (1 + np.exp(-np.clip(odds[a][:, None] + odds[b][None] - base, -8, 8)))
+            x, z = np.nonzero(apart & (both >= 5) & (_ratio(bad, np.maximum(both, 1), want) > PAIR))
+            found[a.start + x] = found[b.start + z] = True
+    return common[found]
 
 
 def train(found: list[str], y: np.ndarray, rank: int = 4, epochs: int = 12, rate: float = 0.15, l2: float = 2e-4, batch: int = 64, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
     """(place of each slot in the weights, or -1; weights (terms, 1 + rank); intercept)."""
-    bags = []
+    bags, words = [], []
     for text in found:
         buf = np.frombuffer(text.encode(), np.uint8)
-        bags.append(terms(buf, np.array([0, len(buf)]))[0])
-    who = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    ids = np.concatenate(bags)
-    chosen = telling_terms(ids, who, y, TERMS)
+        offs = np.array([0, len(buf)])
+        bags.append(terms(buf, offs)[0].astype(np.int32))
+        words.append(terms(buf, offs, ())[0].astype(np.int32))
+    owners = lambda x: np.repeat(np.arange(len(x), dtype=np.int32), [len(b) for b in x])
+    chosen = telling_terms(np.concatenate(bags), owners(bags), y, np.concatenate(words), owners(words))
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     bags = [place[b][place[b] >= 0] for b in bags]
@@ -130,7 +186,9 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
 
     The model learns from at most ``train_rows`` labelled texts that aren't held out.  A
     null or empty text gets the intercept's score; without labelled rows every text gets
-    0.5.  Null and repeated ids are rows like others; an empty table gives no rows.
+    0.5.  A very long text is scored as a whole by its distinct terms.  Null and repeated ids are rows like others; an id labelled
+    twice counts once, with the higher label; columns besides doc_id and text are ignored, whatever their names; nothing depends on
+    the order of ties; an empty table gives no rows.
     """
     found, y = training_rows(docs, labels, "toxic", train_rows)
     model = train(found, y) if len(found) else (np.full(1 << BITS, -1, np.int32), np.zeros((1, 2), np.float32), 0.0)

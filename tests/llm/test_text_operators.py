@@ -141,6 +141,43 @@ def test_factorization_machine_learns_interactions(spark, make, odd_rows):
     assert {r["score"] for r in toxicity.classify(make(rows[:3]), labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("others", [0.0, 0.11])
+def test_factorization_machine_learns_pairs_whose_terms_say_nothing_alone(spark, make, others):
+    rnd = random.Random(31)
+
+    def build(r):
+        a, b, c = r.random() < 0.5, r.random() < 0.5, r.random() < others
+        return " ".join([prose(r, 20), *(["insult"] if a else []), *(["group"] if b else []), *(["slur"] if c else [])]), int(a != b or c)
+
+    made = [(i, *build(rnd)) for i in range(3000)]
+    got = {r["doc_id"]: r for r in toxicity.classify(make([(i, t) for i, t, _ in made]), spark.createDataFrame([(i, y) for i, _, y in made], "doc_id long, toxic int")).collect()}
+    held = [(i, y) for i, _, y in made if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i]["score"] >= 0.5) == (y == 1) for i, y in held]) > 0.97
+
+
+def test_terms_of_harmless_texts_have_weights():
+    rng = np.random.default_rng(3)
+    texts, y = [], []
+    for _ in range(1500):
+        insult, quote = rng.random() < 0.4, rng.random() < 0.4
+        texts.append(" ".join([*(["insult"] if insult else []), *(["quoted"] if quote else []), *(f"w{k}" for k in rng.integers(0, 200, 15))]))
+        y.append(int(insult and not quote))
+    place, w, w0 = toxicity.train(texts, np.array(y))
+    score = lambda t: toxicity.score_pass(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), place, w, w0)[0]
+    assert score("insult w1 w2") > 0.7 and score("insult quoted w1 w2") < 0.3 and score("quoted") < score("w1 w2") + 1e-6
+
+
+@pytest.mark.parametrize(("model", "label", "least"), [(toxicity, "toxic", 0.8), (quality, "quality", 0.98)])
+def test_held_out_rows_of_the_given_tables(spark, model, label, least):
+    d = "/root/testdata/sf0.1"
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{d}/labels.parquet").select("doc_id", label).collect() if zlib.crc32(str(r[0]).encode()) % 3 == 1}
+    got = model.classify(spark.read.parquet(f"{d}/documents.parquet").filter(F.col("doc_id").isin(list(labels)) | (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)), spark.read.parquet(f"{d}/labels.parquet"))
+    rows = [(labels[r["doc_id"]], r["predicted"]) for r in got.filter("held_out").collect()]
+    hit = [p for y, p in rows if y == 1]
+    clean = [1 - p for y, p in rows if y == 0]
+    assert len(rows) == len(labels) and np.mean(hit) >= least and np.mean(clean) >= 0.98
+
+
 def brute_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
