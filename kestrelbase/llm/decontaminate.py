@@ -1,8 +1,9 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into n-grams, and all of them are the item's seeds: an edited copy may keep any
-of them.  A pass finds the seeds in the training texts, and
-wherever two or more seeds of an item lie near one diagonal it aligns the item's words with the
+From every word of a test item starts a seed: the shortest n-gram, of two words or more, that is rare among the
+items.  So the seeds of an item overlap by all but one word, and edited copies keep many: one with every third word changed
+still holds a third of the item's pairs.  A pass finds the seeds in the training texts, and
+wherever enough seeds of an item lie near one diagonal it aligns the item's words with the
 words there.  The local alignment's score, over that of a perfect copy, decides, so
 that edited copies with changed, lost or added words are found too.
 
@@ -24,7 +25,9 @@ from kestrelbase.llm import textvec as tv
 from kestrelbase.llm.common import without_ids
 
 U = np.uint64
-SEED = 3
+#: Words of a seed, at least and at most, and items of a block that may share one for it to be rare: a seed of two words, and a longer one.
+SEED, LONGEST = 2, 5
+RARE_PAIR, RARE = 4, 64
 #: Bytes of item text in a block, at most (a longer single item is a block of its own).
 BLOCK_BYTES = 8 << 20
 TABLE_BITS = 22
@@ -45,6 +48,7 @@ class Items:
     sizes: list[int]
 
     def __post_init__(self) -> None:
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.known = np.zeros(1 << TABLE_BITS, bool)
         self.known[(self.seeds >> U(64 - TABLE_BITS)).astype(np.int64)] = True
 
@@ -63,56 +67,91 @@ def split_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, tv.span_hashes(buf, starts, ends, lower=True), np.searchsorted(starts, offs)
 
 
-def grams_of(h: np.ndarray, bounds: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for n in sizes:
-        g, gb = tv.chain(h, bounds, n)
-        yield n, (tv.mix(g + U(n)) if len(g) else g), gb
+def grams_of(h: np.ndarray, text: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, hashes of the n-grams that start at each word, whether they lie in one text) for n from 1; text: each word's text."""
+    g = h
+    for n in range(1, longest + 1):
+        if n > 1:
+            if len(h) < n:
+                return
+            g = tv.mix(g[:-1] * U(0x9FB21C651E98DF25) + h[n - 1 :])
+        yield n, tv.mix(g + U(n)), text[: len(g)] == text[n - 1 :]
 
 
-def prepare(rows: list[tuple[int, str]], seed: int = SEED) -> Items:
-    """All n-grams of the items as seeds; an item shorter than ``seed`` words is one n-gram of all its words."""
-    ids, words, seeds, item, place = [], [], [], [], []
+def prepare(rows: list[tuple[int, str]]) -> Items:
+    """The seeds of a block of items.  Where no longer n-gram fits into the item a seed may be common, or a single word."""
+    ids, words = [], []
     for key, text in rows:
         buf = np.frombuffer((text or "").encode(), np.uint8)
-        _, _, h, bounds = split_words(buf, np.array([0, len(buf)]))
-        if not len(h):
-            continue
-        n = min(seed, len(h))
-        for _, g, _ in grams_of(h, bounds, [n]):
-            seeds.append(g)
-            item.append(np.full(len(g), len(ids)))
-            place.append(np.arange(len(g)))
-        ids.append(key)
-        words.append(h)
+        _, _, h, _ = split_words(buf, np.array([0, len(buf)]))
+        if len(h):
+            ids.append(key)
+            words.append(h)
     if not ids:
         return Items([], [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-    s, i, p = np.concatenate(seeds), np.concatenate(item), np.concatenate(place)
+    h, sizes = np.concatenate(words), np.array([len(w) for w in words])
+    item = np.repeat(np.arange(len(ids)), sizes)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    open_ = np.ones(len(h), bool)  # places that have no seed yet
+    seeds, at, used = [], [], []
+    for n, g, whole in grams_of(h, item, LONGEST):
+        here = open_[: len(g)] & whole
+        if n < SEED:
+            here &= sizes[item[: len(g)]] == n
+        elif n < LONGEST:
+            # in how many items each n-gram lies
+            own = np.flatnonzero(whole)
+            both = np.unique(np.stack([g[own], item[own].astype(np.uint64)]), axis=1)[0] if len(own) else g[:0]
+            known, held = np.unique(both, return_counts=True)
+            few = held[np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))] <= (RARE_PAIR if n == SEED else RARE) if len(known) else np.zeros(len(g), bool)
+            here &= few | (sizes[item[: len(g)]] == n)
+        found = np.flatnonzero(here)
+        if len(found):
+            seeds.append(g[found])
+            at.append(found)
+            used.append(n)
+            open_[found] = False
+    s, at = np.concatenate(seeds), np.concatenate(at)
     order = np.argsort(s, kind="stable")
-    return Items(ids, words, s[order], i[order], p[order], sorted({min(seed, len(w)) for w in words}))
+    return Items(ids, words, s[order], item[at][order], place[at][order], used)
+
 
+def least_seeds(n: np.ndarray) -> np.ndarray:
+    """Seeds that must lie near one diagonal for an item of n words."""
+    return np.where(n >= 8, np.maximum(2, n // 8), 1)
 
-def candidates(hits: np.ndarray, items: Items, grams: np.ndarray, gb: np.ndarray, wb: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+
+def candidates(h: np.ndarray, wb: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word, last word + 1, seeds) of the stretches where an item's seeds lie near one diagonal."""
-    lo = np.searchsorted(items.seeds, grams[hits], side="left")
-    hi = np.searchsorted(items.seeds, grams[hits], side="right")
-    at = np.repeat(hits, hi - lo)
-    k = np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-    text = np.searchsorted(gb, at, side="right") - 1
-    # gb and wb differ, as a text has fewer n-grams than words
-    begin = at - gb[text] - items.place[k]
-    item = items.item[k]
+    owner = tv.owner(wb)
+    at, k = [], []
+    for n, g, whole in grams_of(h, owner, max(items.sizes)):
+        if n not in items.sizes:
+            continue
+        hits = items.find(g)
+        hits = hits[whole[hits]]
+        lo, hi = np.searchsorted(items.seeds, g[hits], side="left"), np.searchsorted(items.seeds, g[hits], side="right")
+        at.append(np.repeat(hits, hi - lo))
+        k.append(np.arange(len(at[-1])) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo))
+    if not at:
+        return []
+    at, k = np.concatenate(at), np.concatenate(k)
+    text, item = owner[at], items.item[k]
+    begin = at - wb[text] - items.place[k]
     order = np.lexsort((begin, item, text))
     text, item, begin, k = text[order], item[order], begin[order], k[order]
-    length = np.array([len(w) for w in items.words])
+    length = items.lengths
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > np.maximum(4, length[item[1:]] // 4))
-    edge = np.append(np.flatnonzero(new), len(text))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(text))
+    least = least_seeds(length[item[first]]) if len(first) else first
     out = []
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        i, t = int(item[a]), int(text[a])
+    for a, b, enough in zip(*(x[last - first >= least].tolist() for x in (first, last, least)), strict=True):
         seeds = len(np.unique(k[a:b]))
-        n = int(length[i])
-        if seeds >= (2 if n >= 8 else 1):
+        if seeds >= enough:
+            i, t = int(item[a]), int(text[a])
+            n = int(length[i])
             pad = 4 + n // 4
             words = int(wb[t + 1] - wb[t])
             out.append((t, i, max(0, int(begin[a]) - pad), min(words, int(begin[b - 1]) + n + pad), seeds))
@@ -169,11 +208,7 @@ def _match(items, threshold: float):
             ids = rb.column("doc_id")
             for lo, _, buf, offs in tv.passes(rb.column("text")):
                 _, _, h, wb = split_words(buf, offs)
-                found = []
-                for _, g, gb in grams_of(h, wb, own.sizes):
-                    hits = own.find(g)
-                    if len(hits):
-                        found += candidates(hits, own, g, gb, wb)
+                found = candidates(h, wb, own)
                 if not found:
                     continue
                 scores = align([(own.words[i], h[wb[t] + a : wb[t] + b]) for t, i, a, b, _ in found])
@@ -209,7 +244,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
     score: the best local alignment's, 1 for a verbatim copy; the words of the text where
     the alignment was made count from 0.  Null and empty texts and items leak nothing; an item with a null id
     can't be named and is left out.  A null doc_id and repeated rows give rows like
-    others.  Without items or texts there are no rows.
+    others.  A text of any length is searched as a whole; of several copies of an item in it the best scored one is reported, of
+    equal ones the first.  Columns besides doc_id, item_id and text are ignored, whatever their names.  Without items or texts there are no rows.
     """
     spark, out = docs.sparkSession, None
     only = docs.select("doc_id", "text")

@@ -236,6 +236,32 @@ def test_leaks_of_an_only_copy_with_many_changed_words(spark, make):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and len(want) == 20
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3, 0.35])
+def test_recall_of_edited_items_against_full_alignment(spark, make, share):
+    rnd = random.Random(int(share * 100))
+    items = [(i, prose(rnd, rnd.randrange(6, 60), 3000)) for i in range(60)]
+    rows = []
+    for i, text in items:
+        copy = text.split()
+        for k in sorted(rnd.sample(range(len(copy)), round(share * len(copy))), reverse=True):
+            copy[k : k + 1] = rnd.choice([["new"], [f"other{k}"], [], [copy[k], "more"]])
+        rows.append((100 + i, " ".join([prose(rnd, 30, 3000), *copy, prose(rnd, 30, 3000)])))
+    thirds = [(500 + i, " ".join("other" if k % 3 == 2 else w for k, w in enumerate(t.split()))) for i, t in items if len(t.split()) >= 9]
+    want = {(d, k) for d, t in rows + thirds for k, x in items if brute_align(x.split(), t.split()) >= 0.5}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(make(rows + thirds), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 40
+
+
+def test_items_of_one_template_are_told_apart(spark, make):
+    rnd = random.Random(41)
+    head, tail = prose(rnd, 12, 900), prose(rnd, 9, 900)
+    items = [(i, f"{head} name{i} {tail} end{i}") for i in range(200)] + [(300, "of the"), (301, "of"), (302, "of the")]
+    rows = [(1000 + i, f"{prose(rnd, 20)} {items[i][1]} {prose(rnd, 20)}") for i in range(0, 200, 20)] + [(2000, "some of the words")]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(got[1000 + i, i] == 1 for i in range(0, 200, 20)) and {k for k in got if k[0] == 2000} == {(2000, 300), (2000, 301), (2000, 302)}
+    assert set(got) == {(d, k) for d, t in rows for k, x in items if brute_align(x.split(), t.split()) >= 0.5}
+
+
 def window_reference(docs):
     """Repeats by the definition: every later occurrence of a window of chunks, in order of id, text hash and place; their union by text."""
     seen, out = set(), {}
