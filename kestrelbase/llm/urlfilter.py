@@ -4,19 +4,22 @@ A rule names a host and a path beginning; it fits the host with all subdomains,
 longest rule that fits wins.  URLs that no rule fits are judged by boosted regression trees
 learned from labelled URLs: logistic loss, histogram splits, all in numpy.  The features say
 nothing of a URL's words, only of their shape and of how its host's suffixes fared in training.
+A third of all hosts are held out of training, so that what the trees say of them is no echo of a label.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kestrelbase.llm import textvec as tv
+from kestrelbase.llm.common import map_texts
+
 #: (rule, verdict).
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Labelled URLs that the model learns from, at most.
@@ -85,32 +88,71 @@ def suffixes(host: str) -> list[str]:
     return [".".join(labels[i:]) for i in range(len(labels) - 1, -1, -1)]
 
 
-def _entropy(s: str) -> float:
-    if not s:
-        return 0.0
-    n = np.array(list(Counter(s).values())) / len(s)
-    return float(-(n * np.log2(n)).sum())
-
-
-def features(urls: list[str | None], stats: Suffixes) -> np.ndarray:
-    """(urls, NAMES); a null counts as an empty URL."""
-    out = np.zeros((len(urls), len(NAMES)), np.float32)
-    for i, u in enumerate(urls):
-        u = u or ""
-        after = u.split("://", 1)[1] if "://" in u else u
-        host = re.split(r"[/?#]", after, maxsplit=1)[0]
-        rest = after[len(host) :]
-        host = host.lower()
-        path = re.split(r"[?#]", rest, maxsplit=1)[0]
-        query = rest[len(path) :].partition("?")[2].partition("#")[0]
-        labels = host.split(".")
-        own = "".join(labels[:-2]) if len(labels) > 2 else labels[0]
-        rate, count = stats.look(host)
-        out[i] = (
-            len(u), len(host), len(path), path.count("/"), len(labels), sum(c.isdigit() for c in u) / max(1, len(u)), sum(c.isdigit() for c in host) / max(1, len(host)), host.count("-"), _entropy(u), _entropy(host),
-            len([p for p in query.split("&") if p]), len(query), "#" in rest, max(map(len, labels)), sum(c in "aeiou" for c in own) / max(1, len(own)), rate, count,
-        )
-    return out
+def _entropy(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bits a byte of each span."""
+    size = ends - starts
+    who = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(who)) + np.repeat(starts - np.cumsum(size) + size, size)
+    n = np.bincount(who * 256 + buf[at], minlength=256 * len(size)).reshape(-1, 256)
+    p = n / np.maximum(size, 1)[:, None]
+    return -(p * np.log2(np.where(n > 0, p, 1))).sum(1)
+
+
+def _next(places: np.ndarray, since: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first of ``places`` at or after ``since``, or ``end`` if it comes before."""
+    return np.minimum(np.append(places, np.iinfo(np.int64).max)[np.searchsorted(places, since)], end)
+
+
+def _features(buf: np.ndarray, offs: np.ndarray, stats: Suffixes) -> np.ndarray:
+    first, last = offs[:-1], offs[1:]
+    where = lambda chars: np.flatnonzero(np.isin(buf, np.frombuffer(chars, np.uint8)))
+    count = lambda places, a, b: np.searchsorted(places, b) - np.searchsorted(places, a)
+    colon = where(b":")
+    colon = colon[(colon + 2 < len(buf))]
+    colon = colon[(buf[colon + 1] == 47) & (buf[colon + 2] == 47)]
+    scheme = _next(colon, first, last)
+    host = np.where(scheme + 3 <= last, scheme + 3, first)
+    path = _next(where(b"/?#"), host, last)
+    stop = _next(where(b"?#"), path, last)
+    asks = (stop < last) & (buf[np.minimum(stop, len(buf) - 1)] == 63) if len(buf) else stop < last
+    query = stop + asks
+    end = np.where(asks, _next(where(b"#"), query, last), query)
+    ands, dots, digits = where(b"&"), where(b"."), where(b"0123456789")
+    begins = np.flatnonzero(np.diff(buf == 38, prepend=True) & (buf != 38))
+    # a parameter that starts the query or follows a &
+    parameters = count(begins, query + 1, end) + ((end > query) & (buf[np.minimum(query, max(len(buf) - 1, 0))] != 38) if len(buf) else 0)
+    k = count(dots, host, path)
+    at = np.searchsorted(dots, path)
+    far = np.append(dots, 0)
+    own = np.where(k >= 2, far[np.maximum(at - 2, 0)], np.where(k == 1, far[np.maximum(at - 1, 0)], path))
+    letters = own - host - count(dots, host, own)
+    # the longest label: between the dots of a host
+    inner = dots[np.searchsorted(host, dots, side="right") > 0] if len(host) else dots
+    owner = np.searchsorted(host, inner, side="right") - 1
+    inner, owner = inner[inner < path[owner]], owner[inner < path[owner]]
+    edges = np.sort(np.concatenate([host * 2, inner * 2 + 1]), kind="stable")
+    begin = np.where(edges % 2 == 1, edges // 2 + 1, edges // 2)
+    mine = np.sort(np.concatenate([np.arange(len(host)), owner]), kind="stable")
+    finish = np.minimum(np.append(begin[1:] - 1, np.iinfo(np.int64).max), path[mine])
+    longest = np.zeros(len(host), np.int64)
+    np.maximum.at(longest, mine, np.maximum(finish - begin, 0))
+    hashes, one, back = np.unique(tv.span_hashes(buf, host, path, lower=True), return_index=True, return_inverse=True)
+    looked = np.array([stats.look(tv.LOWER[buf[host[i] : path[i]]].tobytes().decode("utf-8", "replace")) for i in one.tolist()]).reshape(-1, 2)[back]
+    size, host_size = last - first, path - host
+    return np.stack(
+        [
+            size, host_size, stop - path, count(where(b"/"), path, stop), k + 1, count(digits, first, last) / np.maximum(size, 1), count(digits, host, path) / np.maximum(host_size, 1), count(where(b"-"), host, path),
+            _entropy(buf, first, last), _entropy(buf, host, path), parameters, end - query, count(where(b"#"), path, last) > 0, longest, count(where(b"aeiouAEIOU"), host, own) / np.maximum(letters, 1), looked[:, 0], looked[:, 1],
+        ],
+        axis=1,
+    ).astype(np.float32)
+
+
+def features(urls: pa.Array | list[str | None], stats: Suffixes) -> np.ndarray:
+    """(urls, NAMES); a null counts as an empty URL.  Lengths are in bytes; a URL without :// is all host up to / ? or #."""
+    column = urls if isinstance(urls, (pa.Array, pa.ChunkedArray)) else pa.array(urls, pa.string())
+    parts = [_features(buf, offs, stats) for _, _, buf, offs in tv.passes(column, 1 << 15)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)), np.float32)
 
 
 @dataclass
@@ -185,9 +227,15 @@ def seed_labels(urls: DataFrame, terms: tuple[str, ...] = SEED_TERMS) -> DataFra
     return urls.select("url", host_of(F.col("url")).alias("host")).filter("host <> ''").select("url", F.arrays_overlap(words, F.array(*map(F.lit, terms))).cast("int").alias("bad"))
 
 
+def held_out(host: Column) -> Column:
+    """A third of all hosts, by crc32: no label of their URLs is learned from."""
+    return F.crc32(host.cast("binary")) % 3 == 1
+
+
 def train(labelled: DataFrame, most: int = TRAIN_ROWS) -> tuple[Suffixes, Trees]:
-    """The model from at most ``most`` labelled URLs (url, bad), picked by a hash of the URL."""
-    rows = labelled.filter("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    """The model from at most ``most`` labelled URLs (url, bad) whose hosts aren't held out, picked by a hash of the URL."""
+    usable = labelled.filter("url is not null and bad is not null").filter(~held_out(host_of(F.col("url"))))
+    rows = usable.groupBy("url").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("url"), "url").limit(most).collect()
     urls, y = [r[0] for r in rows], np.array([float(r[1]) for r in rows])
     stats = Suffixes.learn([u.split("://", 1)[-1].split("/", 1)[0].lower() for u in urls], y)
     if not urls or y.min() == y.max():
@@ -197,22 +245,24 @@ def train(labelled: DataFrame, most: int = TRAIN_ROWS) -> tuple[Suffixes, Trees]
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...], train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score for every row of ``pages``.
+    """page_id, host, path, rule, verdict, score, held_out for every row of ``pages``.
 
     score: the model's probability that the URL is unwanted; it decides, at 0.5, where no
-    rule fits.  A null URL or one without :// has an empty host and path, no rule, and is
-    judged by the model like others.  Null and repeated ids are rows like others; an empty table gives
+    rule fits.  held_out: whether the labels of the URL's host were kept from training.  A null URL or one without :// has an
+    empty host and path, no rule, and is judged by the model like others, as is a very long one.  Null and repeated ids are rows
+    like others; of rules that tie in length the first listed wins; a URL labelled twice counts once, as unwanted if either label
+    says so; columns besides page_id and url are ignored, whatever their names.  An empty table gives
     no rows; without labelled URLs the model allows all.
     """
     shared = pages.sparkSession.sparkContext.broadcast(train(labelled, train_rows))
 
-    @F.pandas_udf("double")
-    def unwanted(url: pd.Series) -> pd.Series:
+    def score(column: pa.Array) -> dict[str, np.ndarray]:
         stats, trees = shared.value
-        return pd.Series(trees.predict(features([None if x is None or x != x else x for x in url], stats)))
+        return {"score": trees.predict(features(column, stats))}
 
-    only = pages.select("page_id", "url")
-    parts = only.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), unwanted("url").alias("score"))
+    url = F.col("url")
+    parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), url.alias("text"))
+    scored = map_texts(parts, score, {"score": pa.float64()}, "page_id long, host string, path string, score double")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
-    return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score")
+    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score", held_out(F.col("host")).alias("held_out"))

@@ -47,6 +47,43 @@ def test_boosted_trees_learn_shape_from_labelled_urls(spark):
     assert np.mean((p >= 0.5) == np.array([y == 1 for _, y in rows[900:]])) > 0.97
 
 
+def test_features_against_plain_python():
+    import math
+    from collections import Counter
+
+    stats = urlfilter.Suffixes({"com": 0.25, "h.com": 0.75}, {"com": 9, "h.com": 5}, 0.5)
+    urls = ["http://www.a-b.h.com/x/y.html?p=1&q=2&&r#top", "no scheme/at all?x", "", None, "://", "a://h.com", "http://H.com?&a=1", "x://9.9.9.9/#", "http://one/two//three", "http://é.com/ü?é=&", "x" * 70_000 + "://h.com/" + "y" * 70_000, ":/", "a://b://c.com/?#?&"]
+
+    def plain(u):
+        u = (u or "").encode()
+        after = u.split(b"://", 1)[1] if b"://" in u else u
+        host = re.split(rb"[/?#]", after, maxsplit=1)[0]
+        rest = after[len(host) :]
+        path = re.split(rb"[?#]", rest, maxsplit=1)[0]
+        query = rest[len(path) :].split(b"#")[0][1:]
+        labels = host.split(b".")
+        own = b"".join(labels[:-2]) if len(labels) > 2 else labels[0]
+        bits = lambda x: -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values()) if x else 0.0
+        share = lambda x, chars: sum(c in chars for c in x) / max(1, len(x))
+        suffix = [x for x in (host.decode().lower().split(".")[-1], ".".join(host.decode().lower().split(".")[-2:])) if x in stats.rate]
+        rate, n = (stats.rate[suffix[-1]], math.log1p(stats.count[suffix[-1]])) if suffix else (stats.whole, 0.0)
+        return [len(u), len(host), len(path), path.count(b"/"), len(labels), share(u, b"0123456789"), share(host, b"0123456789"), host.count(b"-"), bits(u), bits(host), len([p for p in query.split(b"&") if p]), len(query), b"#" in rest, max(map(len, labels)), share(own, b"aeiouAEIOU"), rate, n]
+
+    assert np.allclose(urlfilter.features(urls, stats), np.array([plain(u) for u in urls], float), atol=1e-4)
+    assert urlfilter.features([], stats).shape == (0, len(urlfilter.NAMES))
+
+
+def test_hosts_whose_words_were_never_labelled(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    # learn from one kind of unwanted host alone, judge the others
+    seen = urlfilter.seed_labels(pages, ("casino", "bets"))
+    known = urlfilter.seed_labels(pages).withColumnRenamed("bad", "truth")
+    other = seen.join(known, "url").filter("bad = truth").select("url", "bad")
+    got = urlfilter.judge(pages, other, ()).join(pages, "page_id").join(known, "url").select("host", "truth", (F.col("verdict") == "block").cast("int").alias("said"), "held_out").distinct()
+    new = [r for r in got.collect() if r["held_out"] or (r["truth"] == 1 and not re.search("casino|bets", r["host"]))]
+    assert sum(r["truth"] for r in new) and np.mean([r["said"] == r["truth"] for r in new]) > 0.95 and all(r["said"] for r in new if r["truth"])
+
+
 def test_connected_components(spark):
     rnd = random.Random(4)
     chain = [(i, i + 1) for i in range(200)]
