@@ -113,43 +113,64 @@ def map_texts(df: DataFrame, score: Callable[[pa.Array], dict[str, np.ndarray]],
     return df.mapInArrow(run, schema)
 
 
+#: Edges that a task reduces at a time.
+EDGES = 1 << 19
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, labels) of the components of edges; a label is the smallest node of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(up[x], up[y])
+        np.minimum.at(up, up[x], low)
+        np.minimum.at(up, up[y], low)
+        while not np.array_equal(far := up[up], up):
+            up = far
+        apart = up[x] != up[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[up]
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) of an undirected graph given as edges (a, b) of longs; label: the smallest node reachable.
 
-    First every partition reduces its edges to a spanning forest of stars, then labels
+    First tasks reduce EDGES edges at a time to a spanning forest of stars, then labels
     spread along the rest and jump to their label's label until none changes.  Every
-    round is a join and a partial aggregation; no group is collected.
+    round is a join and a partial aggregation; no group is collected.  Nodes whose label moves on are broadcast where they are
+    few, so that the many nodes of one label aren't gathered at it.
     """
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
+    def stars_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
 
-        def root(x: int) -> int:
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = up[y]
-                x = y
-            return x
+        def close() -> Iterator[pa.RecordBatch]:
+            nodes, labels = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for i in range(0, len(nodes), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(labels[i : i + (1 << 16)])], names=["node", "label"])
 
         for rb in batches:
-            for a, b in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                a, b = root(a), root(b)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-        nodes = list(up)
-        for i in range(0, len(nodes), 1 << 16):
-            part = nodes[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "label"])
-
-    stars = keep(edges.select("a", "b").mapInArrow(forest, "node long, label long").distinct())
+            held.append((rb.column(0).to_numpy(), rb.column(1).to_numpy()))
+            n += rb.num_rows
+            if n > EDGES:
+                yield from close()
+                held, n = [], 0
+        if held:
+            yield from close()
+
+    stars = keep(edges.select("a", "b").mapInArrow(stars_of, "node long, label long").distinct())
     labels = keep(stars.groupBy("node").agg(F.min("label").alias("label")))
     links = stars.filter("node != label")
     links = links.select(F.col("node").alias("a"), F.col("label").alias("b"))
     both = links.union(links.select("b", "a"))
     while True:
         told = both.join(labels.withColumnsRenamed({"node": "a"}), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("told"))
-        nearer = labels.join(told, "node", "left").select("node", "label", F.least("label", F.coalesce("told", "label")).alias("next"))
-        jump = nearer.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = keep(nearer.join(jump, "next", "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")))
+        nearer = keep(labels.join(told, "node", "left").select("node", "label", F.least("label", F.coalesce("told", "label")).alias("next")))
+        jump = nearer.filter("node != next").select(F.col("node").alias("next"), F.col("next").alias("far"))
+        few = jump.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        new = keep(nearer.join(F.broadcast(jump) if few else jump, "next", "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")))
         changed = new.filter("old != label").limit(1).count()
         labels = new.select("node", "label")
         if not changed:

@@ -10,8 +10,9 @@ whole corpus; a wrong estimate only moves an n-gram in the order, never changes
    to those fragments, packed by task and fragment.  What it sends are signatures of two
    n-grams that are neighbours in its sorted set: sufficiently similar sets must share some
    in their rare ends, while unrelated texts that have a few n-grams in common hardly
-   ever do.  A fragment finds the pairs that meet in it.
-3. Candidate pairs form components.  The whole sets of their classes are cut by the same
+   ever do.  Classes that meet at a signature are linked in a chain, in the task that made their
+   entries as far as they meet there, so a signature is never listed pair by pair, however many classes share it.
+3. Linked classes form components.  The whole sets of their classes are cut by the same
    order into vertical segments; each (component, segment) counts partial overlaps
    separately, and Spark sums them per pair.  A large component is split into blocks of
    classes, and pairs of blocks, so that no task holds more than two blocks of one segment.
@@ -37,8 +38,8 @@ CHUNK = 1 << 16
 FRAGMENT = 1 << 18
 #: Entries that a task packs at a time.
 HELD = 1 << 19
-#: Vertical segments of the counting step, and classes in a block of it.
-SEGMENTS, BLOCK = 4, 512
+#: Vertical segments of the counting step, and classes and n-grams in a block of it, on average at most.
+SEGMENTS, BLOCK, BLOCK_NGRAMS = 4, 512, 1 << 22
 BLOOM_BITS = 1 << 25
 #: Candidate classes that may be broadcast, of about 40 bytes each.
 BROADCAST_MEMBERS = 500_000
@@ -173,23 +174,30 @@ def by_neighbours(threshold: int) -> bool:
 
 
 def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
-    """Rows (fragment, packed): the entries that a task's texts have in a fragment."""
+    """Rows (fragment, packed, edges): the entries that a task's texts have in a fragment, less those that are linked here already, and those links."""
     fragments = len(cut_at) + 1
 
     def pack(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not found:
             return
-        fragment, sign, node, size, before = (np.concatenate(x) for x in zip(*found, strict=True))
+        fragment, sign, node, size, small = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, edges, sent = meet(sign, node, size, small, threshold)
+        fragment, sign, node, size, small = (x[order[sent]] for x in (fragment, sign, node, size, small))
+        # what meets in one batch goes on as links, so a signature that a third of all texts share is a few entries a batch
+        rows, blobs, links = [0] * bool(edges.size), [None] * bool(edges.size), [_edge_bytes(edges)] * bool(edges.size)
         order = np.lexsort((sign, fragment))
-        fragment, sign, node, size, before = (x[order] for x in (fragment, sign, node, size, before))
+        fragment, sign, node, size, small = (x[order] for x in (fragment, sign, node, size, small))
         at = np.searchsorted(fragment, np.arange(fragments + 1))
-        rows, blobs = [], []
         for f in np.flatnonzero(np.diff(at)).tolist():
             a, b = int(at[f]), int(at[f + 1])
             # byte planes, and differences of what is sorted, so that the shuffle's compression finds the zeros
-            blobs.append(_planes(np.diff(sign[a:b], prepend=U(0)), 6) + _planes(node[a:b], 5) + _planes(before[a:b], 3) + size[a:b].tobytes())
+            blobs.append(_planes(np.diff(sign[a:b], prepend=U(0)), 6) + _planes(node[a:b], 5) + (size[a:b] * 2 + small[a:b]).tobytes())
             rows.append(f)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["fragment", "packed"])
+            links.append(None)
+        if edges.size:
+            # any task may pass links on
+            rows[0] = int(edges[0, 0] % fragments)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary()), pa.array(links, pa.binary())], names=["fragment", "packed", "edges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = level.value
@@ -203,13 +211,10 @@ def _prefixes(n: int, threshold: int, level, cut_at: np.ndarray):
                 larger, smaller = prefix_lengths(sizes, threshold)
                 place = np.arange(len(keys)) - np.repeat(bounds[:-1], sizes)
                 take = np.flatnonzero(place < np.repeat(larger, sizes))
-                before = np.zeros(len(keys), np.uint64)
-                before[1:] = (tv.mix(keys[:-1]) >> U(40)) | U(1)
-                before[bounds[:-1][sizes > 0]] = 0
                 small = (place < np.repeat(smaller, sizes))[take]
                 sign = tv.mix(keys[take] + tv.mix(keys[take + 1])) if by_neighbours(threshold) else tv.mix(keys[take])
                 node = np.repeat(sig.view(np.uint64) >> U(24), sizes)[take]
-                found.append((np.searchsorted(cut_at, keys[take], side="right").astype(np.int32), sign >> U(16), node, np.repeat(size_levels(sizes), sizes)[take] * 2 + small, before[take]))
+                found.append((np.searchsorted(cut_at, keys[take], side="right").astype(np.int32), sign >> U(16), node, np.repeat(size_levels(sizes), sizes)[take], small))
                 held += len(small)
                 if held > HELD:
                     yield from pack(found)
@@ -236,54 +241,66 @@ def _from_planes(raw: bytes, at: int, m: int, n: int) -> np.ndarray:
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, ...]:
-    """(signature, node, hash of the n-gram before it, size level, within the smaller prefix) of a blob's entries."""
-    m = len(packed) // 15
-    size = np.frombuffer(packed, np.uint8, m, 14 * m)
-    return np.cumsum(_from_planes(packed, 0, m, 6), dtype=np.uint64), _from_planes(packed, 6 * m, m, 5), _from_planes(packed, 11 * m, m, 3), size >> 1, (size & 1) > 0
+    """(signature, node, size level, within the smaller prefix) of a blob's entries."""
+    m = len(packed) // 12
+    size = np.frombuffer(packed, np.uint8, m, 11 * m)
+    return np.cumsum(_from_planes(packed, 0, m, 6), dtype=np.uint64), _from_planes(packed, 6 * m, m, 5), size >> 1, (size & 1) > 0
 
 
-def meeting_pairs(sign, node, before, level, small, threshold: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Arrays (2, m): lesser and greater node of pairs that meet at a signature.
+def _edge_bytes(edges: np.ndarray) -> bytes:
+    """Links (2, m) as byte planes; nodes have 40 bits."""
+    return _planes(edges[0], 5) + _planes(edges[1], 5)
 
-    A pair that also shares the n-gram just before (in both sets) is left to the signature
-    there.  Pairs of a signature are made a bounded number at a time, however many classes
-    meet there.
+
+def _edges_of(raw: bytes) -> np.ndarray:
+    m = len(raw) // 10
+    return np.stack([_from_planes(raw, 0, m, 5), _from_planes(raw, 5 * m, m, 5)])
+
+
+def meet(sign: np.ndarray, node: np.ndarray, level: np.ndarray, small: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, links (2, m), places in the order of the entries that may meet others elsewhere).
+
+    Two classes with one signature may be similar if their size levels are near and the smaller set has
+    the signature within its smaller prefix.  Within a signature's run, ordered by size level, every entry is linked to the nearest
+    such smaller one only: as any two of those that an entry could be linked to are near each other, this connects
+    what all pairs would connect, with at most one link an entry.
+
+    An entry linked to a smaller one here need not meet others elsewhere, unless it is the first of its level
+    that may itself be a smaller one.
     """
     order = np.lexsort((node, ~small, level, sign))
-    sign, node, before, level, small = (x[order] for x in (sign, node, before, level, small))
-    new = np.ones(len(sign), bool)
-    new[1:] = (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])
-    sign, node, before, level, small = (x[new] for x in (sign, node, before, level, small))
-    if not len(sign):
-        return
-    edge = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1], [True]]))
-    end = np.repeat(edge[1:], np.diff(edge))
-    # partners come later in the signature's run, ordered by size level: of two sets of one level the one within its smaller prefix is first
-    at = np.arange(len(sign))
-    level = level.astype(np.int64)
+    sign, node, small = sign[order], node[order], small[order]
+    lv = level[order].astype(np.int64)
     apart = int(np.ceil(np.log(100 / threshold) / np.log(1.1))) + 1
-    partners = np.where(small, end - at - 1, 0)
-    rows = np.flatnonzero(partners)
-    counts = partners[rows]
-    sums = np.concatenate([[0], np.cumsum(counts)])
-    i = 0
-    while i < len(rows):
-        j = max(i + 1, int(np.searchsorted(sums, sums[i] + most, side="right")) - 1)
-        # one class with more partners than `most` is walked in steps
-        lo, total = int(sums[i]), int(sums[j] - sums[i])
-        for step in range(0, total, most):
-            k = np.arange(step, min(step + most, total))
-            r = np.searchsorted(sums[i : j + 1] - lo, k, side="right") - 1
-            a = rows[i + r]
-            b = a + 1 + (k - (sums[i + r] - lo))
-            ok = (level[b] - level[a] <= apart) & ((before[a] != before[b]) | (before[a] == 0)) & (node[a] != node[b])
-            a, b = node[a[ok]], node[b[ok]]
-            if len(a):
-                yield np.stack([np.minimum(a, b), np.maximum(a, b)]).view(np.int64)
-        i = j
+    m = len(sign)
+    if not m:
+        return order, np.zeros((2, 0), np.uint64), np.zeros(0, np.int64)
+    at = np.arange(m)
+    new = np.ones(m, bool)
+    new[1:] = sign[1:] != sign[:-1]
+    begin = np.maximum.accumulate(np.where(new, at, 0))
+    # the last entry before this one that is within its smaller prefix
+    last = np.maximum.accumulate(np.where(small, at, -1))
+    near = np.full(m, -1)
+    near[1:] = last[:-1]
+    linked = (near >= begin) & (lv - lv[np.maximum(near, 0)] <= apart)
+    rows = np.flatnonzero(linked)
+    a, b = node[near[rows]], node[rows]
+    apart_nodes = a != b
+    edges = np.stack([np.minimum(a, b), np.maximum(a, b)])[:, apart_nodes]
+    if edges.size:
+        edges = np.unique(edges, axis=1)
+    leads = np.ones(m, bool)
+    leads[1:] = new[1:] | (lv[1:] != lv[:-1])
+    return order, edges, np.flatnonzero(~linked | (small & leads))
 
 
 def _find_pairs(threshold: int):
+    def links(edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, edges.shape[1], 1 << 16):
+            part = edges[:, i : i + (1 << 16)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["a", "b"])
+
     def finish(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         entries = [np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True)]
         # most signatures occur once: only those that two entries share can give a pair
@@ -293,15 +310,15 @@ def _find_pairs(threshold: int):
         shared[1:] = k[1:] == k[:-1]
         shared[:-1] |= shared[1:]
         order = order[shared]
-        for p in meeting_pairs(*(x[order] for x in entries), threshold):
-            # nodes have 40 bits
-            p = np.unique(p, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], names=["a", "b"])
+        yield from links(meet(*(x[order] for x in entries), threshold)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for rb in batches:
-            for f, packed in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+            for f, packed, edges in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2).to_pylist(), strict=True):
+                if edges is not None:
+                    yield from links(_edges_of(edges))
+                    continue
                 if f != now and blobs:
                     yield from finish(blobs)
                     blobs = []
@@ -470,16 +487,13 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass:
     shared_level = sc.broadcast(level)
     share = prefix_lengths(np.array([1000]), threshold)[0][0] / 1000
     fragments = int(max(1, mass.sum() * share // FRAGMENT))
-    prefix = texts(docs).select("text").mapInArrow(_prefixes(n, threshold, shared_level, fragment_cuts(mass, fragments)), "fragment int, packed binary")
+    prefix = texts(docs).select("text").mapInArrow(_prefixes(n, threshold, shared_level, fragment_cuts(mass, fragments)), "fragment int, packed binary, edges binary")
     pairs = prefix.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_find_pairs(threshold), "a long, b long")
-    components = connected(keep(pairs.distinct()))
-    sizes = components.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    members = keep(
-        components.join(sizes, "label").select(
-            "node", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).cast("int").alias("block")
-        )
-    )
+    components = connected(pairs)
     node = F.shiftrightunsigned("cid", 24)
+    weights = classes.select(node.alias("node"), F.col("n").alias("__n"))
+    sizes = components.join(weights, "node").groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("__n") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
+    members = keep(components.join(sizes, "label").select("node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     reps = classes.withColumn("node", node).join(members.select("node"), "node", "left_semi").select(F.coalesce("rep", F.lit(-1)).alias("rep"))
     wanted = sc.broadcast(bloom_of(reps))
     segments = texts(docs).mapInArrow(_segments(n, shared_level, fragment_cuts(mass, SEGMENTS), wanted), "cid long, n long, segment int, keys binary")
