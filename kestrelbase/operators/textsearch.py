@@ -40,28 +40,34 @@ def _equals(term: str):
     return lambda x: x == F.lit(term)
 
 
+def _counts(text: Column, terms: dict[str, int]) -> Column:
+    """__dl and __tf0, __tf1, ... of a text, generated from one token array: a filter on them can't be moved below it, which would cut the text again."""
+    own = lambda t: F.struct(F.coalesce(F.size(t), F.lit(0)).alias("dl"), F.filter(t, lambda x: x.isin(*terms)).alias("held"))
+    of = lambda r: F.struct(r["dl"].alias("__dl"), *(F.size(F.filter(r["held"], _equals(x))).alias(f"__tf{i}") for i, x in enumerate(terms)))
+    return F.inline(F.transform(F.transform(F.array(tokens(text)), own), of))
+
+
 def bm25(df: DataFrame, query: str, k: int = 10, text: str | None = "text", key: str = "doc_id", only: Column | None = None) -> DataFrame:
     """``df``'s rows that hold a query term, with ``score``, best first; ties go by key; k <= 0 gives all.
 
     Statistics are those of all rows; ``only`` restricts the hits.  A row's counts of the few query terms are
     taken from its token array, so nothing is exploded or shuffled: one aggregate gives the
-    statistics, one row wide, and a second pass scores.
+    statistics, one row wide, and a second pass cuts and scores the rows that hold a term as a substring.
     """
     terms = query_terms(query)
-    source = F.col(f"`{text}`") if text else all_text(df)
-    counted = df.withColumn("__t", tokens(source)).withColumn("__dl", F.coalesce(F.size("__t"), F.lit(0)))
-    for i, t in enumerate(terms):
-        counted = counted.withColumn(f"__tf{i}", F.size(F.filter("__t", _equals(t))))
-    counted = counted.drop("__t").filter("__dl > 0")
-    stats = counted.agg(
-        F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__dl").alias("__avgdl"), *(F.count_if(F.col(f"__tf{i}") > 0).cast("double").alias(f"__df{i}") for i in range(len(terms)))
-    )
     if not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
+    source = F.col(f"`{text}`") if text else all_text(df)
     held = reduce(lambda a, b: a | b, (F.col(f"__tf{i}") > 0 for i in range(len(terms))))
-    hits = counted.filter(held)
-    if only is not None:
-        hits = hits.filter(only)
+    stats = (
+        df.select(_counts(source, terms)).filter("__dl > 0")
+        .agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__dl").alias("__avgdl"), *(F.count_if(F.col(f"__tf{i}") > 0).cast("double").alias(f"__df{i}") for i in range(len(terms))))
+    )
+    hits = df if only is None else df.filter(only)
+    if all(t.isascii() for t in terms):
+        # lower-casing can depend on the letters around for other scripts only
+        hits = hits.filter(reduce(lambda a, b: a | b, (F.lower(source).contains(t) for t in terms)))
+    hits = hits.select("*", _counts(source, terms)).filter(held)
     # one row wide: a scalar subquery, computed once
     scored = hits.withColumn("__st", stats.select(F.struct(*stats.columns)).scalar())
     st = lambda name: F.col("__st")[name]
@@ -69,7 +75,7 @@ def bm25(df: DataFrame, query: str, k: int = 10, text: str | None = "text", key:
         lambda a, b: a + b,
         (F.lit(float(m)) * score_expr(F.col(f"__tf{i}").cast("double"), F.col("__dl").cast("double"), st(f"__df{i}"), st("__n"), st("__avgdl")) for i, m in enumerate(terms.values())),
     )
-    out = scored.withColumn("score", score).select(*df.columns, "score").orderBy(F.desc("score"), key)
+    out = scored.withColumn("score", score).select(*(f"`{c}`" for c in df.columns), "score").orderBy(F.desc("score"), key)
     return out.limit(k) if k > 0 else out
 
 
