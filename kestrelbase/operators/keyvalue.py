@@ -67,13 +67,19 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
-        names = ["key", "seq", "op", "applied", "value", "last"]
+        now, state, waiting = None, None, None
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
+
+        def send(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=["key", "seq", "op", "applied", "value", "last"])
 
         for rb in batches:
             out = []
-            for key, seq, op, value, expected, last in zip(*(rb.column(c).to_pylist() for c in ("key", "seq", "op", "value", "expected", "last")), strict=True):
-                if key != now:
+            for key, seq, op, value, expected in zip(*(rb.column(c).to_pylist() for c in ("key", "seq", "op", "value", "expected")), strict=True):
+                if waiting is not None:
+                    # a key's last operation is the one before another key's first
+                    out.append((*waiting, key != now))
+                if key != now or waiting is None:
                     now, state = key, None
                 applied = True
                 if op == "put":
@@ -90,13 +96,13 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame]:
                     state = str(_number(state) + _number(value))
                 else:
                     raise ValueError(f"unknown operation: {op}")
-                out.append((key, seq, op, applied, state, last))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=names)
+                waiting = (key, seq, op, applied, state)
+            yield send(out)
+        if waiting is not None:
+            yield send([(*waiting, True)])
 
-    final = log.groupBy("key").agg(F.max("seq").alias("last_seq"))
-    marked = log.join(final, "key").select("key", "seq", "op", "value", "expected", (F.col("seq") == F.col("last_seq")).alias("last"))
-    ran = marked.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, "key string, seq long, op string, applied boolean, value string, last boolean")
+    sorted_log = log.select("key", "seq", "op", "value", "expected").repartition("key").sortWithinPartitions("key", "seq")
+    ran = sorted_log.mapInArrow(run, "key string, seq long, op string, applied boolean, value string, last boolean")
     return ran.select("key", "seq", "op", "applied"), ran.filter("last and value is not null").select("key", "value")
 
 

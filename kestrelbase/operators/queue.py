@@ -59,6 +59,20 @@ def nack(messages: DataFrame, ids: DataFrame, requeue: bool = True) -> DataFrame
     return messages.join(own, "id", "left").withColumn("state", F.when(hit & dead, "dead").when(hit, "ready").otherwise(F.col("state"))).drop("__n")
 
 
+def extend(messages: DataFrame, ids: DataFrame, now: Any, seconds: float) -> DataFrame:
+    """The table after the leases of ``ids`` were extended: they end ``seconds`` from now; only those in flight can be."""
+    own = ids.select("id", F.lit(True).alias("__n"))
+    hit = F.coalesce("__n", F.lit(False)) & (F.col("state") == "in_flight")
+    until = F.lit(now) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    return messages.join(own, "id", "left").withColumn("visible_at", F.when(hit, until).otherwise(F.col("visible_at"))).drop("__n")
+
+
+def expire_leases(messages: DataFrame, now: Any) -> DataFrame:
+    """The table after a timer ran: leases that have run out go back to ready, or to the dead letters without retries left."""
+    over = (F.col("state") == "in_flight") & (F.col("visible_at") <= F.lit(now))
+    return messages.withColumn("state", F.when(over & (F.col("retry_count") >= F.col("max_retries")), "dead").when(over, "ready").otherwise(F.col("state")))
+
+
 def dead_letters(messages: DataFrame) -> DataFrame:
     return messages.filter("state = 'dead'")
 
@@ -69,15 +83,23 @@ def state_counts(messages: DataFrame) -> DataFrame:
 
 @dataclass
 class Broker:
-    """One queue's state while its operations are replayed in order of time (seconds)."""
+    """One queue's state while its operations are replayed in order of time (seconds).
+
+    Messages wait in a heap by when they become visible, then in one by priority; leases and deduplication ids end in the order
+    of their own heaps.  So an operation costs the logarithm of what is open, and what has ended is forgotten: of dead letters
+    only their number is kept.
+    """
 
     lease_seconds: float = LEASE_SECONDS
     dedup_seconds: float = DEDUP_SECONDS
     heap: list[tuple] = field(default_factory=list)
+    delayed: list[tuple] = field(default_factory=list)
     flying: dict[str, dict] = field(default_factory=dict)
+    leases: list[tuple] = field(default_factory=list)
     held: dict[str, dict] = field(default_factory=dict)
-    dead: list[str] = field(default_factory=list)
+    dead: int = 0
     seen: dict[str, float] = field(default_factory=dict)
+    ends: list[tuple] = field(default_factory=list)
 
     def dump(self) -> str:
         return json.dumps(vars(self))
@@ -85,21 +107,40 @@ class Broker:
     @classmethod
     def load(cls, text: str) -> Broker:
         state = json.loads(text)
-        state["heap"] = [tuple(x) for x in state["heap"]]
+        for name in ("heap", "delayed", "leases", "ends"):
+            state[name] = [tuple(x) for x in state[name]]
         return cls(**state)
 
     def tick(self, now: float) -> None:
-        """Leases that have run out go back to ready, or to the dead letters."""
-        for k in [k for k, m in self.flying.items() if m["visible"] <= now]:
-            self._back(self.flying.pop(k), now)
+        """Leases that have run out go back to ready, or to the dead letters; what is due becomes visible; old ids are forgotten."""
+        while self.leases and self.leases[0][0] <= now:
+            _, key = heapq.heappop(self.leases)
+            m = self.flying.get(key)
+            if m is not None and m["visible"] <= now:
+                self._back(self.flying.pop(key), now)
+        while self.delayed and self.delayed[0][0] <= now:
+            visible, key = heapq.heappop(self.delayed)
+            m = self.held.get(key)
+            if m is not None and m["visible"] == visible:
+                heapq.heappush(self.heap, (-m["priority"], visible, key))
+        while self.ends and self.ends[0][0] <= now:
+            end, dup = heapq.heappop(self.ends)
+            if self.seen.get(dup) == end:
+                del self.seen[dup]
+
+    def _wait(self, m: dict, now: float) -> None:
+        self.held[m["id"]] = m
+        if m["visible"] > now:
+            heapq.heappush(self.delayed, (m["visible"], m["id"]))
+        else:
+            heapq.heappush(self.heap, (-m["priority"], m["visible"], m["id"]))
 
     def _back(self, m: dict, now: float) -> None:
         if m["tries"] >= m["max"]:
-            self.dead.append(m["id"])
+            self.dead += 1
         else:
             m["visible"] = min(m["visible"], now)
-            self.held[m["id"]] = m
-            heapq.heappush(self.heap, (-m["priority"], m["visible"], m["id"]))
+            self._wait(m, now)
 
     def apply(self, now: float, op: str, key: str | None, args: dict) -> tuple[bool, str | None]:
         """(whether it took effect, the message's id)."""
@@ -107,32 +148,28 @@ class Broker:
         if op == "enqueue":
             dup = args.get("dedup_id")
             if dup is not None:
-                if self.seen.get(dup, now) > now:
+                if dup in self.seen:
                     return False, None
                 self.seen[dup] = now + float(args.get("dedup_window", self.dedup_seconds))
-            m = {"id": key, "priority": args.get("priority", PRIORITY), "visible": now + args.get("delay", 0.0), "max": args.get("max_retries", MAX_RETRIES), "tries": 0, "expire": now + args["ttl"] if "ttl" in args else None}
-            self.held[key] = m
-            heapq.heappush(self.heap, (-m["priority"], m["visible"], key))
+                heapq.heappush(self.ends, (self.seen[dup], dup))
+            self._wait({"id": key, "priority": args.get("priority", PRIORITY), "visible": now + args.get("delay", 0.0), "max": args.get("max_retries", MAX_RETRIES), "tries": 0, "expire": now + args["ttl"] if "ttl" in args else None}, now)
             return True, key
         if op == "dequeue":
-            later, got = [], None
-            while self.heap:
-                entry = heapq.heappop(self.heap)
-                m = self.held.get(entry[2])
-                if m is None or m["expire"] is not None and m["expire"] <= now:
-                    self.held.pop(entry[2], None)
-                elif m["visible"] > now:
-                    later.append(entry)  # a delayed message doesn't block those behind it
-                else:
-                    got = self.held.pop(entry[2])
-                    break
-            for entry in later:
-                heapq.heappush(self.heap, entry)
+            got = None
+            while self.heap and got is None:
+                _, visible, k = heapq.heappop(self.heap)
+                m = self.held.get(k)
+                if m is None or m["visible"] != visible:
+                    continue
+                del self.held[k]
+                if m["expire"] is None or m["expire"] > now:
+                    got = m
             if got is None:
                 return False, None
             got["tries"] += 1
             got["visible"] = now + float(args.get("lease", self.lease_seconds))
             self.flying[got["id"]] = got
+            heapq.heappush(self.leases, (got["visible"], got["id"]))
             return True, got["id"]
         m = self.flying.get(key)
         if m is None:
@@ -147,6 +184,7 @@ class Broker:
             self._back(m, now)
         elif op == "extend":
             m["visible"] = now + float(args["by"])
+            heapq.heappush(self.leases, (m["visible"], key))
         else:
             raise ValueError(f"unknown operation: {op}")
         return True, key

@@ -44,6 +44,14 @@ def prune(df: DataFrame, cutoff: Any, ts: str = "ts") -> tuple[DataFrame, DataFr
     return df.filter(~F.coalesce(old, F.lit(False))), df.agg(F.count_if(old).alias("removed"))
 
 
+def write(series: DataFrame, points: DataFrame, now: Any = None, ts: str = "ts") -> DataFrame:
+    """``series`` with ``points`` added; a point without a time gets ``now`` (by default when the query runs), and tags or fields that one side lacks are null."""
+    when = F.lit(now) if now is not None else F.current_timestamp()
+    given = F.col(ts) if ts in points.columns else F.lit(None)
+    stamped = points.withColumn(ts, F.coalesce(given.cast(series.schema[ts].dataType), when.cast(series.schema[ts].dataType)))
+    return series.unionByName(stamped, allowMissingColumns=True)
+
+
 @dataclass(frozen=True)
 class TimeQuery:
     """Range, tags, order and limit apply to points, before any rollup."""
