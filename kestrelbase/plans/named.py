@@ -12,8 +12,10 @@ from kestrelbase.functions import rules
 from kestrelbase.operators import dedup, keyvalue, mutate, queue, textsearch, timeseries, topics, vectors
 from kestrelbase.operators.aggregates import Agg
 from kestrelbase.operators.timeseries import TimeQuery
+from kestrelbase.plans import api
 from kestrelbase.plans import expressions as ex
 from kestrelbase.plans.query import Query
+from kestrelbase.sources.catalog import Catalog
 from kestrelbase.streaming import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,12 +102,33 @@ def _on_part(name: str, expr: ex.Expr, condition: str) -> None:
 
 _on_part("doc_between", ex.between("p_size", 10, 20), "p_size BETWEEN 10 AND 20")
 _on_part("doc_in", ex.in_("p_size", 1, 5, 9), "p_size IN (1, 5, 9)")
-_on_part("doc_contains", ex.contains("p_name", "1"), "contains(p_name, '1')")
+_on_part("doc_contains", ex.contains("p_name", "old"), "contains(p_name, 'old')")
 _on_part("doc_startswith", ex.starts_with("p_type", "S"), "starts_with(p_type, 'S')")
-_on_part("doc_endswith", ex.ends_with("p_name", "7"), "ends_with(p_name, '7')")
+_on_part("doc_endswith", ex.ends_with("p_name", "widget"), "ends_with(p_name, 'widget')")
 _on_part("doc_equal_fold", ex.equal_fold("p_brand", "bRAND#1"), "lower(p_brand) = 'brand#1'")
 
 
+def _on_tags(name: str, expr: ex.Expr, condition: str) -> None:
+    def run(s, d):
+        return Query(_tagged(s, d), "orders").where(expr).select("o_orderkey", "tags").all()
+
+    run.__name__ = name
+    query(f"SELECT o_orderkey, tags FROM {SQL_TAGGED} WHERE {condition}")(run)
+
+
+def _tagged(s, d):
+    """Orders with an array of one or two tags, or none at all."""
+    both = F.array("o_orderstatus", "o_orderpriority")
+    return table(s, d, "orders").withColumn("tags", F.when(F.col("o_orderkey") % 3 == 0, F.array("o_orderstatus")).when(F.col("o_orderkey") % 7 != 0, both))
+
+
+SQL_TAGGED = "(SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN [o_orderstatus] WHEN o_orderkey % 7 <> 0 THEN [o_orderstatus, o_orderpriority] END AS tags FROM orders)"
+_on_tags("doc_array_contains", ex.array_contains("tags", "F"), "list_contains(tags, 'F')")
+_on_tags("doc_array_any", ex.array_any("tags", "F", "1-URGENT"), "list_has_any(tags, ['F', '1-URGENT'])")
+_on_tags("doc_array_all", ex.array_all("tags", "F", "1-URGENT"), "list_has_all(tags, ['F', '1-URGENT'])")
+_on_tags("doc_array_size", ex.array_size("tags", 2), "len(tags) = 2")
+
+
 @query("SELECT * FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 25")
 def doc_offset_page(s, d):
     return Query(table(s, d, "customer")).order_by("c_custkey").offset(25).limit(10).all()
@@ -241,6 +264,23 @@ def ts_prune_count(s, d):
     return timeseries.prune(table(s, d, "events"), datetime(2024, 1, 15))[1]
 
 
+@query(
+    "SELECT b AS start, b + INTERVAL 1 DAY AS \"end\", count(*) AS count, round(avg(value), 6) AS value FROM (SELECT value, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '0001-01-01') AS b FROM "
+    "(SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)) GROUP BY b"
+)
+def ts_limit_then_rollup(s, d):
+    return rounded(TimeQuery(table(s, d, "events"), key="event_id").desc().limit(500).aggregate("value", 86400, "avg"), "value")
+
+
+@query(
+    "SELECT ts, event_id, value, NULL::VARCHAR AS unit FROM events UNION ALL SELECT coalesce(CASE WHEN event_id % 10 <> 0 THEN ts END, TIMESTAMP '2024-01-20'), event_id + 1000000, NULL::DOUBLE, 'new' FROM events WHERE event_id % 5 = 0"
+)
+def ts_write(s, d):
+    events = table(s, d, "events").select("ts", "event_id", "value")
+    points = events.filter("event_id % 5 = 0").select(F.when(F.col("event_id") % 10 != 0, F.col("ts")).alias("ts"), (F.col("event_id") + 1000000).alias("event_id"), F.lit("new").alias("unit"))
+    return timeseries.write(events, points, NOW)
+
+
 # vectors
 
 
@@ -256,6 +296,7 @@ SQL_COSINE = f"(1 - list_cosine_similarity(embedding::DOUBLE[], {SQL_PROBE}))"
 SQL_L2 = f"list_distance(embedding::DOUBLE[], {SQL_PROBE})"
 _nearest("vec_topk_cosine", "cosine", SQL_COSINE)
 _nearest("vec_topk_l2", "l2", SQL_L2)
+_nearest("vec_topk_l2_squared", "l2_squared", f"({SQL_L2} * {SQL_L2})")
 _nearest("vec_topk_dot", "dot", f"(-list_dot_product(embedding::DOUBLE[], {SQL_PROBE}))")
 
 
@@ -273,7 +314,9 @@ def vec_similarity_pct(s, d):
 
 @query()
 def vec_inverted_file_search(s, d):
-    return rounded(vectors.inverted_file(table(s, d, "embeddings")).search(PROBE, 10, probes=12).select("vec_id", "distance"), "distance")
+    df = table(s, d, "embeddings")
+    index = vectors.inverted_file(df)
+    return rounded(index.search_all(df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10), "distance")
 
 
 # text
@@ -281,10 +324,10 @@ def vec_inverted_file_search(s, d):
 TERMS = textsearch.query_terms(WORDS)
 
 
-def _sql_bm25(k: int, condition: str = "true", text: str = "text") -> str:
+def _sql_bm25(k: int, condition: str = "true", text: str = "text", table: str = "documents") -> str:
     terms = ", ".join(f"('{t}', {m})" for t, m in TERMS.items())
     return rf"""
-WITH tok AS (SELECT doc_id, lang, list_transform(regexp_extract_all({text}, '[\p{{L}}\p{{Nd}}]+'), lambda w: lower(w)) AS t FROM documents),
+WITH tok AS (SELECT doc_id, lang, list_transform(regexp_extract_all({text}, '[\p{{L}}\p{{Nd}}]+'), lambda w: lower(w)) AS t FROM {table}),
 t2 AS (SELECT doc_id, lang, len(t) AS dl, unnest(t) AS w FROM tok WHERE len(t) > 0),
 st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM tok WHERE len(t) > 0),
 qt(w, m) AS (VALUES {terms}),
@@ -315,6 +358,12 @@ def text_bm25_stored_index(s, d):
     return rounded(textsearch.search_index(textsearch.build_index(table(s, d, "documents")), WORDS, 10), "score")
 
 
+@query(_sql_bm25(10, table="(SELECT * FROM documents WHERE doc_id % 3 <> 0)"))
+def text_bm25_after_removal(s, d):
+    docs = table(s, d, "documents")
+    return rounded(textsearch.search_index(textsearch.remove(textsearch.build_index(docs), docs.filter("doc_id % 3 = 0")), WORDS, 10), "score")
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{Nd}]+')) AS n_tokens FROM documents")
 def text_token_counts(s, d):
     return table(s, d, "documents").select("doc_id", F.size(textsearch.tokens(F.col("text"))).cast("long").alias("n_tokens"))
@@ -374,17 +423,18 @@ def kv_ttl_live(s, d):
 
 
 @query(
-    "WITH RECURSIVE o AS (SELECT 'user:' || user_id AS key, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'put_if_absent' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'incr' ELSE 'put' END AS op, (event_id % 7)::VARCHAR AS value, "
+    "WITH RECURSIVE o AS (SELECT 'user:' || user_id AS key, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'put_if_absent' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'incr' WHEN 'view' THEN 'cas' ELSE 'put' END AS op, (event_id % 7)::VARCHAR AS value, "
+    "CASE WHEN event_id % 4 <> 0 THEN (event_id % 3)::VARCHAR END AS expected, "
     "row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), "
-    "f AS (SELECT key, seq, op, r, op <> 'delete' AS applied, CASE WHEN op = 'delete' THEN NULL WHEN op = 'incr' THEN value ELSE value END AS state FROM o WHERE r = 1 "
-    "UNION ALL SELECT o.key, o.seq, o.op, o.r, CASE WHEN o.op = 'put_if_absent' THEN f.state IS NULL WHEN o.op = 'delete' THEN f.state IS NOT NULL ELSE true END, "
-    "CASE WHEN o.op = 'put_if_absent' THEN coalesce(f.state, o.value) WHEN o.op = 'delete' THEN NULL WHEN o.op = 'incr' THEN (coalesce(f.state, '0')::BIGINT + o.value::BIGINT)::VARCHAR ELSE o.value END "
+    "f AS (SELECT key, seq, op, r, op <> 'delete' AND (op <> 'cas' OR expected IS NULL) AS applied, CASE WHEN op = 'delete' OR (op = 'cas' AND expected IS NOT NULL) THEN NULL ELSE value END AS state FROM o WHERE r = 1 "
+    "UNION ALL SELECT o.key, o.seq, o.op, o.r, CASE WHEN o.op = 'put_if_absent' THEN f.state IS NULL WHEN o.op = 'delete' THEN f.state IS NOT NULL WHEN o.op = 'cas' THEN f.state IS NOT DISTINCT FROM o.expected ELSE true END, "
+    "CASE WHEN o.op = 'cas' AND f.state IS DISTINCT FROM o.expected THEN f.state WHEN o.op = 'put_if_absent' THEN coalesce(f.state, o.value) WHEN o.op = 'delete' THEN NULL WHEN o.op = 'incr' THEN (coalesce(f.state, '0')::BIGINT + o.value::BIGINT)::VARCHAR ELSE o.value END "
     "FROM f JOIN o ON o.key = f.key AND o.r = f.r + 1) SELECT key, seq, op, applied FROM f"
 )
 def kv_conditional_writes(s, d):
-    kind = F.when(F.col("event_type") == "purchase", "put_if_absent").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "click", "incr").otherwise("put")
+    kind = F.when(F.col("event_type") == "purchase", "put_if_absent").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "click", "incr").when(F.col("event_type") == "view", "cas").otherwise("put")
     log = table(s, d, "events").select(
-        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), kind.alias("op"), (F.col("event_id") % 7).cast("string").alias("value"), F.lit(None).cast("string").alias("expected")
+        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), kind.alias("op"), (F.col("event_id") % 7).cast("string").alias("value"), F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 3).cast("string")).alias("expected")
     )
     return keyvalue.replay(log)[0]
 
@@ -417,6 +467,28 @@ def upd_upsert_delete(s, d):
     return mutate.delete(mutate.upsert(df, new, "s_suppkey"), df.filter("s_suppkey % 5 = 0"), "s_suppkey").select(*df.columns)
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 4 = 0 THEN 1.0 WHEN s_suppkey % 6 = 0 THEN 2.0 ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, s_nationkey, 2.0 FROM supplier WHERE s_suppkey % 6 = 0")
+def upd_insert_replace(s, d):
+    df = table(s, d, "supplier")
+    six = df.filter("s_suppkey % 6 = 0").withColumn("s_acctbal", F.lit(2.0))
+    added = mutate.insert(df, six.union(six.withColumn("s_suppkey", F.col("s_suppkey") + 1000000)), "s_suppkey")
+    # replacing ignores what has no predecessor
+    four = df.filter("s_suppkey % 4 = 0").withColumn("s_acctbal", F.lit(1.0))
+    return mutate.replace(added, four.union(four.withColumn("s_suppkey", F.col("s_suppkey") + 2000000)), "s_suppkey").select(*df.columns)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN [o_orderstatus] WHEN o_orderstatus = 'F' THEN ['F'] ELSE [o_orderstatus, 'F'] END AS a, CASE WHEN o_orderkey % 5 = 0 THEN ['x'] ELSE [o_orderpriority, 'x'] END AS b FROM orders")
+def upd_pop_add_to_set(s, d):
+    df = table(s, d, "orders").select("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("a"), F.when(F.col("o_orderkey") % 5 != 0, F.array("o_orderpriority")).alias("b"))
+    df = mutate.add_to_set(mutate.pop(df, "a"), "a", "F", F.col("o_orderkey") % 2 != 0)
+    return mutate.add_to_set(df, "b", "x")
+
+
+@query(f"SELECT note, NULL::DOUBLE AS score, count(*) AS n FROM {SQL_ORDERS} WHERE note IS NOT NULL GROUP BY note HAVING count(*) > 1")
+def unique_violations_sparse(s, d):
+    return mutate.unique_violations(_orders(s, d).withColumn("score", F.lit(None).cast("double")), ["note", "score"], sparse=True)
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_violations(s, d):
     return mutate.unique_violations(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -464,6 +536,13 @@ def queue_dlq(s, d):
     return queue.dead_letters(queue.nack(m, m.filter("id % 2 = 0"))).select("id", "queue")
 
 
+@query(f"SELECT id, CASE WHEN state = 'in_flight' AND id % 3 <> 0 AND visible_at <= TIMESTAMP '2024-01-20' THEN CASE WHEN retry_count >= 5 THEN 'dead' ELSE 'ready' END ELSE state END AS state, CASE WHEN state = 'in_flight' AND id % 3 = 0 THEN TIMESTAMP '2024-01-20 00:01:00' ELSE visible_at END AS visible_at FROM {SQL_MESSAGES} WHERE NOT (state = 'in_flight' AND id % 2 = 0)")
+def queue_ack_extend_expire(s, d):
+    m = _messages(s, d)
+    open_ = queue.extend(queue.ack(m, m.filter("id % 2 = 0")), m.filter("id % 3 = 0"), NOW, 60.0)
+    return queue.expire_leases(open_, NOW).select("id", "state", F.col("visible_at").cast("timestamp_ntz").alias("visible_at"))
+
+
 @query()
 def queue_replay(s, d):
     kind = F.when(F.col("event_type").isin("view", "signup", "purchase"), "enqueue").when(F.col("event_type") == "click", "dequeue").otherwise("nack")
@@ -511,11 +590,30 @@ def topic_drop_oldest(s, d):
     return topics.bounded(topics.route(_published(s, d), SUBSCRIPTIONS), 16, [F.col("ts"), F.col("event_id")]).select("event_id", "subscriber")
 
 
+@query(f"SELECT event_id, subscriber FROM (SELECT *, row_number() OVER (PARTITION BY subscriber ORDER BY ts, event_id) AS r FROM {SQL_ROUTED}) WHERE r <= 16")
+def topic_drop_newest(s, d):
+    return topics.bounded(topics.route(_published(s, d), SUBSCRIPTIONS), 16, [F.col("ts"), F.col("event_id")], "drop_newest").select("event_id", "subscriber")
+
+
+@query(f"SELECT event_id, count(subscriber)::INTEGER AS deliveries FROM {SQL_PUBLISHED} LEFT JOIN (SELECT event_id, subscriber FROM {SQL_ROUTED}) USING (event_id) GROUP BY event_id")
+def topic_publish_counts(s, d):
+    return topics.deliveries(_published(s, d), SUBSCRIPTIONS).select("event_id", "deliveries")
+
+
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 def json_props_extract(s, d):
     return table(s, d, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
 
 
+@query("SELECT * FROM (VALUES ('customer'), ('orders')) AS t(name)")
+def catalog_names(s, d):
+    known = Catalog(s)
+    for name in ("orders", "customer"):
+        known.register("collection", name, table(s, d, name))
+    known.register("series", "events", table(s, d, "events"))
+    return api.listing(known, "collection")
+
+
 # streams
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -54,14 +55,98 @@ def test_vectors(spark):
 
 
 def test_inverted_file_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    index = vectors.inverted_file(df, cells=8)
-    found = 0
-    asked = [r[0] for r in df.filter("vec_id % 20 = 0").select("embedding").limit(10).collect()]
-    for q in asked:
-        exact = {r[0] for r in vectors.top_k(df, list(q), 10).select("vec_id").collect()}
-        found += len(exact & {r[0] for r in index.search(list(q), 10, probes=6).select("vec_id").collect()})
-    assert found / (10 * len(asked)) >= 0.9
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = vectors.inverted_file(df)
+    asked = df.filter("vec_id % 20 = 0").select("vec_id", "embedding")
+    found = {}
+    for r in index.search_all(asked, 10).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    hits = 0
+    for i in np.flatnonzero(ids % 20 == 0).tolist():
+        exact = np.lexsort((ids, vectors.distances(x, x[i], "cosine")))[:10]
+        assert sorted(found[ids[i]]) == list(range(1, 11)) and found[ids[i]][1] == ids[i]
+        hits += len(set(ids[exact].tolist()) & set(found[ids[i]].values()))
+    assert len(found) == (ids % 20 == 0).sum() and hits / (10 * len(found)) >= 0.9
+    one = index.search(rows[0][1], 10)
+    assert {r["vec_id"] for r in one.collect()} == set(index.search_all(df.filter(F.col("vec_id") == int(ids[0])).select("vec_id", "embedding"), 10).toPandas()["vec_id"])
+    # only the nearest cells' folders are read
+    assert re.search(r"PartitionFilters: \[(isnotnull\(cell#\d+\), )?cell#\d+ IN", one._jdf.queryExecution().toString())
+
+
+def test_batch_search_takes_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (300, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<double>").repartition(3)
+    index = vectors.inverted_file(df, metric="l2", cells=5)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in index.search_all(df.filter("vec_id % 20 = 0 or vec_id > 800").select("vec_id", "embedding"), 4, probes=5).collect()}
+    want = {(i, k + 1): int(v) for i in range(0, 300, 20) for k, v in enumerate(np.lexsort((np.arange(300), vectors.distances(x, x[i], "l2")))[:4])}
+    assert got == want
+    assert index.search_all(df.limit(0), 4).count() == 0
+    none = vectors.inverted_file(df.limit(0))
+    assert none.search([], 3).count() == 0 and none.search_all(df, 3).count() == 0
+
+
+def test_broker_forgets_what_has_ended():
+    b = queue.Broker(lease_seconds=1.0, dedup_seconds=5.0)
+    for i in range(1000):
+        b.apply(float(i), "enqueue", f"m{i}", {"dedup_id": f"d{i}", "max_retries": 1})
+        b.apply(i + 0.2, "dequeue", None, {})
+    b.tick(5000.0)
+    assert (b.dead, b.seen, b.ends, b.flying, b.leases, b.held, b.delayed) == (1000, {}, [], {}, [], {}, [])
+    assert vars(queue.Broker.load(b.dump())) == vars(b)
+
+
+def broker_model(ops):
+    """The same rules by looking at every message at every step."""
+    held, seen, out = {}, {}, []
+    for at, op, key, args in ops:
+        for m in held.values():
+            if m["state"] == "flying" and m["at"] <= at:
+                m["state"], m["at"] = ("dead" if m["tries"] >= m["max"] else "ready"), min(m["at"], at)
+        m = held.get(key)
+        if op == "enqueue":
+            dup = args.get("dedup_id")
+            if dup is not None and seen.get(dup, at) > at:
+                out.append((False, None))
+                continue
+            if dup is not None:
+                seen[dup] = at + 3.0
+            held[key] = {"state": "ready", "at": at + args.get("delay", 0.0), "priority": args.get("priority", 128), "max": args.get("max_retries", 5), "tries": 0, "end": at + args["ttl"] if "ttl" in args else None}
+            out.append((True, key))
+        elif op == "dequeue":
+            open_ = [(-m["priority"], m["at"], k) for k, m in held.items() if m["state"] == "ready" and m["at"] <= at and (m["end"] is None or m["end"] > at)]
+            if not open_:
+                out.append((False, None))
+                continue
+            k = min(open_)[2]
+            held[k].update(state="flying", tries=held[k]["tries"] + 1, at=at + args.get("lease", 2.0))
+            out.append((True, k))
+        elif m is None or m["state"] != "flying":
+            out.append((False, key))
+        else:
+            out.append((True, key))
+            if op == "ack":
+                m["state"] = "done"
+            elif op == "extend":
+                m["at"] = at + args["by"]
+            else:
+                m.update(state="dead" if not args.get("requeue", True) or m["tries"] >= m["max"] else "ready", at=at)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_broker_against_a_model(seed):
+    rnd, at, ops = random.Random(seed), 0.0, []
+    for i in range(600):
+        at += rnd.choice([0.0, 0.25, 0.5, 1.0])
+        op = rnd.choice(["enqueue", "enqueue", "dequeue", "dequeue", "ack", "nack", "extend"])
+        args = {"enqueue": lambda: {k: v for k, v in {"priority": rnd.randrange(3), "delay": rnd.choice([0.5, 2.0]), "ttl": 4.0, "max_retries": 2, "dedup_id": f"d{rnd.randrange(5)}"}.items() if rnd.random() < 0.4}, "nack": lambda: {"requeue": rnd.random() < 0.7}, "extend": lambda: {"by": 1.5}}.get(op, dict)()
+        ops.append((at, op, f"m{i:04d}" if op == "enqueue" else f"m{rnd.randrange(max(0, i - 30), i + 1):04d}", args))
+    b = queue.Broker(lease_seconds=2.0, dedup_seconds=3.0)
+    assert [b.apply(*o) for o in ops] == broker_model(ops)
 
 
 def test_key_value_replay_against_a_model(spark):
