@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -31,7 +32,7 @@ MEAN_WORDS, LEAST_BYTES = 4, 144
 #: Bytes without white space after which any character may end a chunk, and the bytes of the longest chunk.
 SOLID, LONGEST = 64, 128
 #: Windows in a slice: what a task holds at a time.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 _GEAR = np.random.Generator(np.random.PCG64(97)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -274,15 +275,16 @@ def cut_texts(docs: DataFrame, mean_words: int = MEAN_WORDS, least_bytes: int =
             spans = rb.column("__spans")
             new = rb.column(at)
             if spans.null_count < len(spans):
-                values = new.to_pylist()
-                for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                hit = spans.is_valid()
+                values = new.filter(hit).to_pylist()
+                for i, own in enumerate(spans.filter(hit).to_pylist()):
                     raw = values[i].encode()
                     out, last = [], 0
-                    for s in spans[i].as_py():
+                    for s in own:
                         out.append(raw[last : s["start"]])
                         last = s["end"]
                     values[i] = b"".join([*out, raw[last:]]).decode("utf-8", "replace")
-                new = pa.array(values, new.type)
+                new = pc.replace_with_mask(new, hit, pa.array(values, new.type))
             columns = [new if i == at else rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] != "__spans"]
             yield pa.RecordBatch.from_arrays(columns, names=order)
 

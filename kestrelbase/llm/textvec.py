@@ -50,6 +50,7 @@ def lean() -> ctypes.CDLL | None:
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-8, 1)  # M_ARENA_MAX
         libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library: it only saves memory
         return None
@@ -62,8 +63,6 @@ def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int
     libc = lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("")
     n = len(column)
     if not n:
         return
@@ -71,6 +70,10 @@ def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int
     kind = np.int64 if wide else np.int32
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64)
+    if column.null_count and np.diff(offs)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        # a null that hides bytes; most have none, and need no copy of the column
+        yield from passes(column.fill_null(""), limit)
+        return
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:

@@ -17,6 +17,7 @@ the tables don't know for sure, is counted by the tokenizer itself.
 from __future__ import annotations
 
 import json
+import os
 import sys
 import unicodedata
 from collections import Counter
@@ -35,7 +36,7 @@ LETTER, NUMBER, WHITE, OTHER, UNSURE = range(5)
 #: Frequent pre-tokens in the broadcast table, and the sample they are counted in: texts, and bytes of the longest of them.
 FREQUENT, SAMPLE_TEXTS, SAMPLE_BYTES = 1 << 16, 1024, 1 << 15
 #: Slots of a worker's table, of 17 bytes each; bytes of a pre-token that has a place there.
-SLOTS, KEY_BYTES = 1 << 21, 16
+SLOTS, KEY_BYTES = 1 << 20, 16
 #: Longer pre-tokens that a worker remembers, and the bytes of the longest such.
 RARE, RARE_BYTES = 1 << 14, 256
 #: White space to the pattern's \s.
@@ -60,6 +61,8 @@ def classes(codes: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    # a worker has one core: threads of the library's own would only hold memory
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
