@@ -19,7 +19,7 @@ import xxhash
 
 U = np.uint64
 #: Bytes of text that one numpy pass sees; a longer single text is one pass of its own.
-PASS_BYTES = 1 << 19
+PASS_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

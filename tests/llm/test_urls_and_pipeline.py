@@ -126,6 +126,27 @@ def test_ids_are_dropped_either_way(make, spark, monkeypatch):
         assert sorted(map(str, (r["doc_id"] for r in common.without_ids(docs, gone).collect()))) == ["2", "3", "None"]
 
 
+def test_pipeline_stages_take_odd_tables(spark, make, odd_rows):
+    d = "/root/testdata/sf0.001"
+    docs = make(odd_rows + [(None, "again and again " * 30)] * 2)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, d)
+        rows, none = out.collect(), stage(spark, docs.limit(0), d)
+        assert none.count() == 0 and none.columns == out.columns
+        if i < 4:
+            assert out.schema == docs.schema and len(rows) <= docs.count()
+        ids = [r["doc_id"] for r in rows]
+        if i == 1:
+            # one of the repeated texts with an id, and all that are similar to nothing
+            assert ids.count(8) == 1 and 9 not in ids and {1, 2, 3, 4, 5, 6, 7} <= set(ids)
+        if i == 2:
+            assert len(rows) == docs.count() and {r["doc_id"]: r["text"] for r in rows}[1] is None
+        if i == 3:
+            assert len(rows) == docs.count()
+        if i == 4:
+            assert {r["doc_id"] for r in rows} == {r[0] for r in docs.select("doc_id").collect()} and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
+
+
 def test_pipeline_stages(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
