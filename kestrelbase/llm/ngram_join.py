@@ -13,10 +13,12 @@ whole corpus; a wrong estimate only moves an n-gram in the order, never changes
    ever do.  Classes that meet at a signature are linked in a chain, in the task that made their
    entries as far as they meet there, so a signature is never listed pair by pair, however many classes share it.
 3. Linked classes form components.  The whole sets of their classes are cut by the same
-   order into vertical segments; each (component, segment) counts partial overlaps
-   separately, and Spark sums them per pair.  A large component is split into blocks of
-   classes, and pairs of blocks, so that no task holds more than two blocks of one segment.
-4. 100 * overlap >= threshold * union decides, on the exact sum.
+   order into vertical segments; a component's partial overlaps are counted a segment after the
+   other and summed per pair.  A large component is split by the sizes of sets into blocks of
+   classes, and pairs of blocks of near sizes, so that no task holds more than two blocks of one segment.
+4. 100 * overlap >= threshold * union decides, on the exact sum, in the task that counted it.  Of
+   its links each class passes on how many they are and one class that they reach, so neither candidates nor
+   links are ever stored pair by pair, however many they are.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from kestrelbase.llm import textvec as tv
-from kestrelbase.llm.common import connected, keep, texts, without_ids
+from kestrelbase.llm.common import EDGES, connected, forest, keep, texts, without_ids
 
 U = np.uint64
 SKETCH_BITS = 22
@@ -38,8 +41,9 @@ CHUNK = 1 << 16
 FRAGMENT = 1 << 18
 #: Entries that a task packs at a time.
 HELD = 1 << 19
-#: Vertical segments of the counting step, and classes and n-grams in a block of it, on average at most.
-SEGMENTS, BLOCK, BLOCK_NGRAMS = 4, 512, 1 << 22
+#: Vertical segments of the counting step, and classes and n-grams in a block of it, on average at most.  Every class is sent to
+#: each block that it may have links to, so the larger blocks are, the less is sent; a task holds BLOCK^2 counts.
+SEGMENTS, BLOCK, BLOCK_NGRAMS = 4, 2048, 1 << 22
 BLOOM_BITS = 1 << 25
 #: Candidate classes that may be broadcast, of about 40 bytes each.
 BROADCAST_MEMBERS = 500_000
@@ -404,83 +408,159 @@ def _segments(n: int, level, cut_at: np.ndarray, wanted):
     return run
 
 
-def partial_overlaps(cid: np.ndarray, size: np.ndarray, keys: list[np.ndarray], left: np.ndarray | None, threshold: int, most: int = 1 << 21) -> Iterator[np.ndarray]:
-    """(a, na, b, nb, overlap) within one segment of one pair of blocks.
+def add_overlaps(total: np.ndarray, one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray] | None, most: int = 1 << 20) -> None:
+    """Add to total[x, y] how many n-grams x of the first side and y of the second share.
 
-    left: True for classes of the first of two blocks, of which only pairs across count; None
-    for a block with itself.  Pairs whose sizes rule similarity out are skipped.
+    A side: its n-grams, and the row or column that each belongs to; None: the first side once more.  N-grams that many hold are
+    counted by products of matrices, the others by listing who meets at them, ``most`` at a time.
     """
-    if left is not None and (left.all() or not left.any()):
-        # one block has nothing in this segment; pairs within the other count where it meets itself
+    sides = [one] if two is None else [one, two]
+    if not all(len(k) for k, _ in sides):
         return
-    k = np.concatenate(keys)
-    who = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-    _, col, times = np.unique(k, return_inverse=True, return_counts=True)
-    kept = times[col] > 1
-    if not kept.any():
-        return
-    renamed = np.cumsum(times > 1) - 1
-    col, who, m = renamed[col[kept]], who[kept], len(keys)
+    _, col = np.unique(np.concatenate([k for k, _ in sides]), return_inverse=True)
+    cols = [col[: len(one[0])], col[len(one[0]) :] if two is not None else col]
+    whos = [one[1], two[1] if two is not None else one[1]]
     columns = int(col.max()) + 1
-    step = min(columns, max(64, most // m))
-    total = np.zeros((m, m), np.float32)
-    order = np.argsort(col, kind="stable")
-    col, who = col[order], who[order]
-    one = np.arange(m) if left is None else np.flatnonzero(left)
-    two = one if left is None else np.flatnonzero(~left)
-    for c in range(0, columns, step):
-        a, b = np.searchsorted(col, [c, c + step])
-        part = np.zeros((m, step), np.float32)
-        part[who[a:b], col[a:b] - c] = 1
-        total[np.ix_(one, two)] += part[one] @ part[two].T
-    x, y = np.nonzero(np.triu(total, 1) if left is None else total)
-    near = 100 * np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
-    x, y = x[near], y[near]
-    if len(x):
-        swap = (cid[x] > cid[y]) | ((cid[x] == cid[y]) & (size[x] > size[y]))
-        p, q = np.where(swap, y, x), np.where(swap, x, y)
-        yield np.stack([cid[p], size[p], cid[q], size[q], total[x, y].astype(np.int64)])
+    times = [np.bincount(c, minlength=columns) for c in cols]
+    met = (times[0] > 1) if two is None else (times[0] > 0) & (times[1] > 0)
+    crowded = met & (times[0] * times[1] > total.size // 128)
+    for picked in (crowded, met & ~crowded):
+        number = np.cumsum(picked) - 1
+        columns = int(picked.sum())
+        if not columns:
+            continue
+        ordered = []
+        for c, who in zip(cols, whos, strict=True):
+            own = np.flatnonzero(picked[c])
+            own = own[np.argsort(c[own], kind="stable")]
+            ordered.append((number[c[own]], who[own]))
+        (c1, w1), (c2, w2) = ordered
+        if picked is crowded:
+            step = min(columns, max(64, (most << 1) // sum(total.shape)))
+            for c in range(0, columns, step):
+                parts = []
+                for m, cs, ws in zip(total.shape, (c1, c2), (w1, w2), strict=True):
+                    a, b = np.searchsorted(cs, [c, c + step])
+                    parts.append(np.zeros((m, step), np.float32))
+                    parts[-1][ws[a:b], cs[a:b] - c] = 1
+                total += (parts[0] @ parts[1].T).astype(total.dtype)
+            continue
+        begin = np.searchsorted(c2, np.arange(columns + 1))
+        partners = np.diff(begin)[c1]
+        ends = np.cumsum(partners)
+        a = 0
+        while a < len(c1):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - partners[a] + most, side="right")))
+            k = partners[a:b]
+            place = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            y = w2[np.repeat(begin[c1[a:b]], k) + place]
+            np.add.at(total.reshape(-1), np.repeat(w1[a:b], k) * total.shape[1] + y, total.dtype.type(1))
+            a = b
+
+
+class _Blocks:
+    """Overlaps of the classes of one block, or across two, summed over segments in turn."""
+
+    def __init__(self, alone: bool) -> None:
+        self.sides: list[dict[tuple[int, int], int]] = [{}] if alone else [{}, {}]
+        self.times: list[list[int]] = [[] for _ in self.sides]
+        self.total = np.zeros((0, 0), np.int32)
+
+    def add(self, rows: list[tuple]) -> None:
+        """rows: (side, cid, size, times, keys), all of a segment that has not been added yet."""
+        found: list[tuple[list[np.ndarray], list[int]]] = [([], []) for _ in self.sides]
+        for side, cid, size, times, keys in rows:
+            at = self.sides[side].setdefault((cid, size), len(self.sides[side]))
+            if at == len(self.times[side]):
+                self.times[side].append(times)
+            found[side][0].append(np.frombuffer(keys, np.uint64))
+            found[side][1].append(at)
+        m, k = len(self.sides[0]), len(self.sides[-1])
+        self.total = np.pad(self.total, ((0, m - self.total.shape[0]), (0, k - self.total.shape[1])))
+        entries = [(np.concatenate(k), np.repeat(np.array(w), [len(x) for x in k])) if k else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k, w in found]
+        add_overlaps(self.total, entries[0], entries[1] if len(entries) > 1 else None)
+
+    def links(self, threshold: int) -> np.ndarray:
+        """(cid, size, others, near) of each class with links here: how many rows it is linked to, and the least class id that its links reach."""
+        cids, sizes = ([np.array([c[p] for c in side], np.int64) for side in self.sides] for p in (0, 1))
+        times = [np.array(t, np.int64) for t in self.times]
+        others = [np.zeros(len(c), np.int64) for c in cids]
+        stars = [(np.zeros(0, np.int64),) * 2]
+        step = max(1, EDGES // max(1, len(cids[-1])))
+        for a in range(0, len(cids[0]), step):
+            both = self.total[a : a + step].astype(np.int64)
+            hit = (both > 0) & (100 * both >= threshold * (sizes[0][a : a + step, None] + sizes[-1][None, :] - both))
+            if len(self.sides) == 1:
+                hit[np.arange(len(hit)), np.arange(a, a + len(hit))] = False
+            else:
+                others[1] += times[0][a : a + step] @ hit
+            others[0][a : a + step] = hit @ times[-1]
+            x, y = np.nonzero(hit)
+            stars.append(forest(cids[0][a + x], cids[-1][y]))
+        nodes, labels = forest(*(np.concatenate(x) for x in zip(*stars, strict=True)))
+        linked = [(c[o > 0], n[o > 0], o[o > 0]) for c, n, o in zip(cids, sizes, others, strict=True)]
+        return np.concatenate([np.stack([c, n, o, labels[np.searchsorted(nodes, c)]]) for c, n, o in linked], axis=1)
 
 
 def _count(threshold: int):
-    names = ["a", "na", "b", "nb", "overlap"]
+    names = ["cid", "n", "others", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
-
-        def close() -> list[np.ndarray]:
-            cid, size, block, keys = zip(*rows, strict=True)
-            _, i, j, _ = now
-            left = None if i == j else np.array(block) == i
-            return list(partial_overlaps(np.array(cid), np.array(size), [np.frombuffer(x, np.uint64) for x in keys], left, threshold))
+        group, segment, rows, last, blocks, out = None, None, [], None, None, []
 
         def send() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], names=names)
 
         for rb in batches:
-            for *group, cid, size, block, keys in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                if group != now and rows:
-                    out += close()
-                    rows = []
-                    if sum(x.shape[1] for x in out) > 1 << 16:
-                        yield send()
-                        out = []
-                now = group
-                if not rows or rows[-1][:2] != (cid, size):
-                    rows.append((cid, size, block, keys))
-        if rows:
-            out += close()
-        if out:
+            for label, i, j, s, block, cid, size, times, keys in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if ((label, i, j), s) != (group, segment):
+                    if rows:
+                        blocks.add(rows)
+                    rows, last, segment = [], None, s
+                if (label, i, j) != group:
+                    if blocks:
+                        out.append(blocks.links(threshold))
+                        if sum(x.shape[1] for x in out) > 1 << 16:
+                            yield send()
+                            out = []
+                    group, blocks = (label, i, j), _Blocks(i == j)
+                # rows of one class follow each other
+                if last != (block, cid, size):
+                    rows.append((int(block != i), cid, size, times, keys))
+                    last = (block, cid, size)
+        if blocks:
+            blocks.add(rows)
+            out.append(blocks.links(threshold))
             yield send()
 
     return run
 
 
-def similar_pairs(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass: np.ndarray, n: int, threshold: int) -> DataFrame:
-    """(a, na, b, nb) for every two classes whose sets satisfy the threshold. classes: (cid, n, rep).
+def in_blocks(components: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """(cid, n, members, label, block, low, high) of each class of a component.
 
-    Candidates go by node, the first 40 bits of a class id; should two classes share one, both are
-    counted.
+    Blocks of a component are cut from its classes in the order of their sizes, and hold BLOCK classes and BLOCK_NGRAMS n-grams
+    on average at most; a size that fills several spreads over them by hash.  low to high are the blocks whose sizes
+    permit similarity.
+    """
+    share = F.greatest(F.lit(1 / BLOCK), F.col("n") / BLOCK_NGRAMS)
+    placed = components.join(classes.select(F.shiftrightunsigned("cid", 24).alias("node"), "cid", "n", "members"), "node").select("cid", "n", "members", "label")
+    smaller = Window.partitionBy("label").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    widths = placed.groupBy("label", "n").agg(F.count(F.lit(1)).alias("k")).withColumn("width", F.col("k") * share)
+    begins = widths.select("label", "n", "width", F.coalesce(F.sum("width").over(smaller), F.lit(0.0)).alias("begin"))
+    spread = F.pmod(F.xxhash64("cid", "n"), F.lit(1 << 20)) / (1 << 20)
+    placed = keep(placed.join(begins, ["label", "n"]).select("cid", "n", "members", "label", F.floor(F.col("begin") + F.col("width") * spread).cast("int").alias("block")))
+    ends = keep(placed.groupBy("label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    others = ends.select("label", F.col("block").alias("other"), F.col("least").alias("other_least"), F.col("most").alias("other_most"))
+    meets = ends.join(others, "label").filter(F.least("most", "other_most") * 100 >= F.greatest("least", "other_least") * threshold)
+    return placed.join(meets.groupBy("label", "block").agg(F.min("other").alias("low"), F.max("other").alias("high")), ["label", "block"])
+
+
+def linked_classes(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass: np.ndarray, n: int, threshold: int) -> DataFrame:
+    """(cid, n, others, near): rows that a class is linked to, in parts to be summed, and a class id that its links reach.
+
+    Links are those of any two classes whose sets satisfy the threshold; the ids reached connect the same classes. classes:
+    (cid, n, rep, members).  Candidates go by node, the first 40 bits of a class id; should two classes share one, both are counted.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -489,29 +569,23 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass:
     fragments = int(max(1, mass.sum() * share // FRAGMENT))
     prefix = texts(docs).select("text").mapInArrow(_prefixes(n, threshold, shared_level, fragment_cuts(mass, fragments)), "fragment int, packed binary, edges binary")
     pairs = prefix.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_find_pairs(threshold), "a long, b long")
-    components = connected(pairs)
-    node = F.shiftrightunsigned("cid", 24)
-    weights = classes.select(node.alias("node"), F.col("n").alias("__n"))
-    sizes = components.join(weights, "node").groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("__n") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
-    members = keep(components.join(sizes, "label").select("node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    reps = classes.withColumn("node", node).join(members.select("node"), "node", "left_semi").select(F.coalesce("rep", F.lit(-1)).alias("rep"))
+    members = keep(in_blocks(connected(pairs), classes, threshold))
+    reps = classes.join(members.select("cid", "n"), ["cid", "n"], "left_semi").select(F.coalesce("rep", F.lit(-1)).alias("rep"))
     wanted = sc.broadcast(bloom_of(reps))
     segments = texts(docs).mapInArrow(_segments(n, shared_level, fragment_cuts(mass, SEGMENTS), wanted), "cid long, n long, segment int, keys binary")
     # so many members or fewer go to the segments, else the segments to them
     near = F.broadcast(members) if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS else members
-    # a class meets every other block of its component once, on either side
+    # a class meets every other block of its component that has sets of near sizes once, on either side
     held = (
-        segments.withColumn("node", node).join(near, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "segment", "cid", "n", "block", "keys")
+        segments.join(near, ["cid", "n"])
+        .withColumn("other", F.explode(F.sequence("low", "high")))
+        .select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "segment", "block", "cid", "n", "members", "keys")
     )
-    counted = (
-        held.repartition(F.col("label"), F.col("i"), F.col("j"), F.col("segment"))
+    return (
+        held.repartition(F.col("label"), F.col("i"), F.col("j"))
         .sortWithinPartitions("label", "i", "j", "segment", "block", "cid", "n")
-        .mapInArrow(_count(threshold), "a long, na long, b long, nb long, overlap long")
+        .mapInArrow(_count(threshold), "cid long, n long, others long, near long")
     )
-    summed = counted.groupBy("a", "na", "b", "nb").agg(F.sum("overlap").alias("overlap"))
-    return summed.filter(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * threshold).select("a", "na", "b", "nb")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, threshold: int = 70) -> DataFrame:
@@ -536,12 +610,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: int = 70) -> DataFra
         mass += np.array(part, np.int64)
     rows = summary.filter("chunk is null").select("doc_id", "n", "cid")
     classes = keep(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")))
-    links = keep(similar_pairs(classes, docs, level, mass, n, threshold))
-    both = links.select(F.col("a").alias("cid"), F.col("na").alias("n"), F.col("b").alias("other"), F.col("nb").alias("other_n"))
-    both = both.union(links.select("b", "nb", "a", "na"))
-    partners = classes.select(F.col("cid").alias("other"), F.col("n").alias("other_n"), F.col("members").alias("k"))
-    degree = both.join(partners, ["other", "other_n"]).groupBy("cid", "n").agg(F.sum("k").alias("others"))
-    labels = connected(links.filter("a != b"))
+    links = keep(linked_classes(classes, docs, level, mass, n, threshold))
+    degree = links.groupBy("cid", "n").agg(F.sum("others").alias("others"))
+    labels = connected(links.filter("cid != near").select(F.col("cid").alias("a"), F.col("near").alias("b")))
     named = labels.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid")
     component = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("cid", "component_id").distinct()
     result = (

@@ -82,6 +82,62 @@ def test_a_segment_held_by_one_block_counts_once(make, monkeypatch):
     assert as_set(ngram_join.near_duplicates(make(rows))) == sorted(map(str, want)) and all(n > 1 for _, _, n, _ in want)
 
 
+def near_copies(seed, n):
+    """One text with a few words changed in every copy, cut short in some."""
+    rnd = random.Random(seed)
+    body, rows = prose(rnd, 80, 50_000).split(), []
+    for i in range(n):
+        own = list(body)
+        for k in rnd.sample(range(80), rnd.randrange(4)):
+            own[k] = f"e{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(own[: 80 - rnd.randrange(4) * rnd.randrange(8)])))
+    return rows + rows[:9]
+
+
+def shuffled(spark, after=-1):
+    """(rows written to shuffles by stages later than ``after``, the last stage)."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(x.shuffleWriteRecords() for x in stages if x.stageId() > after), max([-1, *(x.stageId() for x in stages)])
+
+
+def test_links_of_many_near_copies_are_not_shuffled_pair_by_pair(spark, make):
+    rows = near_copies(6, 400)
+    docs, (_, last) = make(rows), shuffled(spark)
+    got = as_set(ngram_join.near_duplicates(docs))
+    sent = shuffled(spark, last)[0]
+    want = brute(rows)
+    links = sum(n for _, _, n, _ in want) // 2
+    assert got == sorted(map(str, want)) and links > 40_000
+    assert 0 < sent < links / 2
+
+
+def test_blocks_of_near_sizes_hold_all_links(make, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    rnd = random.Random(7)
+    body = prose(rnd, 300, 50_000).split()
+    # sizes from 20 to 300, of which only near ones are similar, and many of one size
+    rows = [(i, " ".join(body[: 20 + 2 * i])) for i in range(140)] + [(200 + i, " ".join([*body[:60], f"x{i}"])) for i in range(60)] + near_copies(8, 60)
+    assert as_set(ngram_join.near_duplicates(make(rows))) == sorted(map(str, brute(rows)))
+
+
+def test_overlaps_of_rare_and_common_ngrams():
+    rng = np.random.default_rng(4)
+    for most in (1, 50, 1 << 20):
+        sets = [[np.unique(np.concatenate([rng.integers(0, 12, 8), rng.integers(20, 2000, 60)])).astype(np.uint64) for _ in range(m)] for m in (40, 23)]
+        one, two = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(k) for k in x])) for x in sets)
+        for b, side in ((sets[0], None), (sets[1], two)):
+            total = np.zeros((40, len(b)), np.int32)
+            ngram_join.add_overlaps(total, one, side, most)
+            want = np.array([[len(np.intersect1d(x, y)) for y in b] for x in sets[0]])
+            if side is None:
+                np.fill_diagonal(total, 0)
+                np.fill_diagonal(want, 0)
+            assert (total == want).all()
+
+
 def test_one_of_each(make, odd_rows):
     kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(make(odd_rows)).collect()]
     ids = [k[0] for k in kept]
