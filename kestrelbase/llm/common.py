@@ -78,11 +78,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
         .filter(~held_out(F.col("doc_id")))
         .orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id")
         .limit(most)
-        .collect()
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "y")
+        .toArrow()
     )
-    if not picked:
+    if not picked.num_rows:
         return [], np.zeros(0, np.int32)
-    ids = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in picked], "doc_id long, y int")
+    # an Arrow table, as rows of Python objects would start workers of another kind on every executor, which stay
+    ids = docs.sparkSession.createDataFrame(picked)
     rows = (
         texts(docs)
         .join(F.broadcast(ids), "doc_id")
@@ -133,36 +135,46 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[up]
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, label) of an undirected graph given as edges (a, b) of longs; label: the smallest node reachable.
+#: Columns of what ``stars`` yields.
+STARS = "node long, label long"
 
-    First tasks reduce EDGES edges at a time to a spanning forest of stars, then labels
-    spread along the rest and jump to their label's label until none changes.  Every
-    round is a join and a partial aggregation; no group is collected.  Nodes whose label moves on are broadcast where they are
-    few, so that the many nodes of one label aren't gathered at it.
-    """
 
-    def stars_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of edges of longs, reduced EDGES at a time to a spanning forest of stars."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
 
-        def close() -> Iterator[pa.RecordBatch]:
-            nodes, labels = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            for i in range(0, len(nodes), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(labels[i : i + (1 << 16)])], names=["node", "label"])
+    def close() -> Iterator[pa.RecordBatch]:
+        nodes, labels = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for i in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(labels[i : i + (1 << 16)])], names=["node", "label"])
 
-        for rb in batches:
-            held.append((rb.column(0).to_numpy(), rb.column(1).to_numpy()))
-            n += rb.num_rows
-            if n > EDGES:
-                yield from close()
-                held, n = [], 0
-        if held:
+    for rb in batches:
+        held.append((rb.column(0).to_numpy(), rb.column(1).to_numpy()))
+        n += rb.num_rows
+        if n > EDGES:
             yield from close()
+            held, n = [], 0
+    if held:
+        yield from close()
+
 
-    stars = keep(edges.select("a", "b").mapInArrow(stars_of, "node long, label long").distinct())
-    labels = keep(stars.groupBy("node").agg(F.min("label").alias("label")))
-    links = stars.filter("node != label")
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label) of an undirected graph given as edges (a, b) of longs; label: the smallest node reachable."""
+    return connected_stars(edges.select("a", "b").mapInArrow(stars, STARS))
+
+
+def connected_stars(found: DataFrame) -> DataFrame:
+    """``connected`` of the edges that ``stars`` reduced to ``found``.
+
+    Where the edges come from Python, ``stars`` runs in the same worker: of two in a row each core would have two workers, and keep them.
+    Labels spread along the stars and jump to their label's label until none changes.  Every
+    round is a join and a partial aggregation; no group is collected.  Nodes whose label moves on are broadcast where they are
+    few, so that the many nodes of one label aren't gathered at it.
+    """
+    found = keep(found.distinct())
+    labels = keep(found.groupBy("node").agg(F.min("label").alias("label")))
+    links = found.filter("node != label")
     links = links.select(F.col("node").alias("a"), F.col("label").alias("b"))
     both = links.union(links.select("b", "a"))
     while True:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from kestrelbase.llm import textvec as tv
-from kestrelbase.llm.common import EDGES, connected, forest, keep, texts, without_ids
+from kestrelbase.llm.common import EDGES, STARS, connected, connected_stars, forest, keep, stars, texts, without_ids
 
 U = np.uint64
 SKETCH_BITS = 22
@@ -299,7 +299,9 @@ def meet(sign: np.ndarray, node: np.ndarray, level: np.ndarray, small: np.ndarra
     return order, edges, np.flatnonzero(~linked | (small & leads))
 
 
-def _find_pairs(threshold: int):
+def _find_stars(threshold: int):
+    """Rows (node, label): stars that connect what meets in a fragment, and what met earlier."""
+
     def links(edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, edges.shape[1], 1 << 16):
             part = edges[:, i : i + (1 << 16)].view(np.int64)
@@ -316,7 +318,7 @@ def _find_pairs(threshold: int):
         order = order[shared]
         yield from links(meet(*(x[order] for x in entries), threshold)[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for rb in batches:
             for f, packed, edges in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2).to_pylist(), strict=True):
@@ -331,7 +333,7 @@ def _find_pairs(threshold: int):
         if blobs:
             yield from finish(blobs)
 
-    return run
+    return lambda batches: stars(pairs(batches))
 
 
 def _bloom(ids: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
@@ -485,7 +487,7 @@ class _Blocks:
         cids, sizes = ([np.array([c[p] for c in side], np.int64) for side in self.sides] for p in (0, 1))
         times = [np.array(t, np.int64) for t in self.times]
         others = [np.zeros(len(c), np.int64) for c in cids]
-        stars = [(np.zeros(0, np.int64),) * 2]
+        reached = [(np.zeros(0, np.int64),) * 2]
         step = max(1, EDGES // max(1, len(cids[-1])))
         for a in range(0, len(cids[0]), step):
             both = self.total[a : a + step].astype(np.int64)
@@ -496,8 +498,8 @@ class _Blocks:
                 others[1] += times[0][a : a + step] @ hit
             others[0][a : a + step] = hit @ times[-1]
             x, y = np.nonzero(hit)
-            stars.append(forest(cids[0][a + x], cids[-1][y]))
-        nodes, labels = forest(*(np.concatenate(x) for x in zip(*stars, strict=True)))
+            reached.append(forest(cids[0][a + x], cids[-1][y]))
+        nodes, labels = forest(*(np.concatenate(x) for x in zip(*reached, strict=True)))
         linked = [(c[o > 0], n[o > 0], o[o > 0]) for c, n, o in zip(cids, sizes, others, strict=True)]
         return np.concatenate([np.stack([c, n, o, labels[np.searchsorted(nodes, c)]]) for c, n, o in linked], axis=1)
 
@@ -568,8 +570,8 @@ def linked_classes(classes: DataFrame, docs: DataFrame, level: np.ndarray, mass:
     share = prefix_lengths(np.array([1000]), threshold)[0][0] / 1000
     fragments = int(max(1, mass.sum() * share // FRAGMENT))
     prefix = texts(docs).select("text").mapInArrow(_prefixes(n, threshold, shared_level, fragment_cuts(mass, fragments)), "fragment int, packed binary, edges binary")
-    pairs = prefix.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_find_pairs(threshold), "a long, b long")
-    members = keep(in_blocks(connected(pairs), classes, threshold))
+    found = prefix.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_find_stars(threshold), STARS)
+    members = keep(in_blocks(connected_stars(found), classes, threshold))
     reps = classes.join(members.select("cid", "n"), ["cid", "n"], "left_semi").select(F.coalesce("rep", F.lit(-1)).alias("rep"))
     wanted = sc.broadcast(bloom_of(reps))
     segments = texts(docs).mapInArrow(_segments(n, shared_level, fragment_cuts(mass, SEGMENTS), wanted), "cid long, n long, segment int, keys binary")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kestrelbase.llm import common, ngram_join, queries, urlfilter
+from kestrelbase.llm import common, ngram_join, packing, queries, urlfilter
 
 
 def brute_rule(url):
@@ -126,6 +126,29 @@ def test_ids_are_dropped_either_way(make, spark, monkeypatch):
         assert sorted(map(str, (r["doc_id"] for r in common.without_ids(docs, gone).collect()))) == ["2", "3", "None"]
 
 
+def python_workers(node):
+    """How many Python operators the tasks of one stage of a physical plan run at once, at most; of the stage that it ends in, and of any."""
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        return python_workers(node.initialPlan())
+    below = [python_workers(node.children().apply(i)) for i in range(node.children().size())]
+    at_once, most = sum(x for x, _ in below), max([0, *(x for _, x in below)])
+    own = 0 if "Exchange" in node.nodeName() else at_once + ("Arrow" in node.nodeName())
+    return own, max(most, own)
+
+
+def test_a_core_needs_one_python_worker(spark, monkeypatch):
+    d, plans = "/root/testdata/sf0.001", []
+    plan = lambda df: plans.append(python_workers(df._jdf.queryExecution().executedPlan())[1])
+    for module in (common, ngram_join, packing):
+        monkeypatch.setattr(module, "keep", lambda df, *more, plain=module.keep: plan(df) or plain(df, *more))
+    # what it makes are rows of Python objects, for which each executor would start workers of another kind
+    monkeypatch.delattr(type(spark.sparkContext), "parallelize")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        plan(stage(spark, docs, d))
+    assert len(plans) > 10 and plans.count(1) > 5 and max(plans) == 1
+
+
 def test_pipeline_stages_take_odd_tables(spark, make, odd_rows):
     d = "/root/testdata/sf0.001"
     docs = make(odd_rows + [(None, "again and again " * 30)] * 2)
